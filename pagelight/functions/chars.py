@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Python's str.isspace() set, as the inside of a regex class.
-WS = r"\x09-\x0D\x1C-\x20\x85\xA0  -     　"
+WS = "\\x09-\\x0D\\x1C-\\x20\x85\xa0  -     　"
 
 # The token patterns.
 WORD = "[\\p{L}\\p{Nl}\\p{No}]+(?:['’\\-‐-‒–—−][\\p{L}\\p{Nl}\\p{No}]+)*"
