@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelight.functions.chars import fold_text, strip_ws
-from pagelight.llm import encoding, frequency, percentiles, splitting
+from pagelight.llm import encoding, frequency, pairs, percentiles, sentences, splitting
 from pagelight.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,12 +72,34 @@ def p4_label_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(percentiles.percentiles(percentiles.merge_counts(_day_counts(spark, sf_dir), ["label"]), ["label"]))
 
 
+def p5_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of every source_text in order."""
+    rows = table(spark, sf_dir, "translation_results")
+    return sentences.split_sentences(rows, "translation_id", "source_text").dropDuplicates(["translation_id", "sentence_no"])
+
+
+def p5_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of every processed_text in order."""
+    rows = table(spark, sf_dir, "translation_results")
+    return sentences.split_sentences(rows, "translation_id", "processed_text").dropDuplicates(["translation_id", "sentence_no"])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "translation_results")
+    return sentences.split_sentences(rows, "translation_id", "source_text", with_text=False).select("translation_id", "end_char").distinct()
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "translation_results")
+    return pairs.find_defects(rows, "translation_id", "source_text", "translated_text").distinct()
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_terms, p1_found, p3_pieces, p3_found, p4_day_percentiles, p4_label_percentiles, p7_ids)}
+    return {f.__name__: f for f in (p1_terms, p1_found, p3_pieces, p3_found, p4_day_percentiles, p4_label_percentiles, p5_sentences, p5_processed, p5_found, p6_found, p7_ids)}
 
 
 def _percentile_sql(groups: str) -> str:
