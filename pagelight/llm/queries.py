@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelight.functions.chars import fold_text, strip_ws
-from pagelight.llm import encoding, frequency, pairs, percentiles, sentences, splitting
+from pagelight.llm import encoding, frequency, pairs, percentiles, scans, sentences, splitting
 from pagelight.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_terms(spark, sf_dir).where("mark is not null").select("field_name", "term", "mark")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = [table(spark, sf_dir, x) for x in ("ocr_results", "layout_pages", "layout_regions", "frequency_terms")]
+    return scans.places(*tables)
+
+
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ordered pieces of every source_text."""
     rows = table(spark, sf_dir, "translation_results")
@@ -99,7 +104,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_terms, p1_found, p3_pieces, p3_found, p4_day_percentiles, p4_label_percentiles, p5_sentences, p5_processed, p5_found, p6_found, p7_ids)}
+    return {f.__name__: f for f in (p1_terms, p1_found, p2_found, p3_pieces, p3_found, p4_day_percentiles, p4_label_percentiles, p5_sentences, p5_processed, p5_found, p6_found, p7_ids)}
 
 
 def _percentile_sql(groups: str) -> str:
