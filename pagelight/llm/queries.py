@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelight.functions.chars import fold_text, strip_ws
-from pagelight.llm import encoding, frequency, pairs, percentiles, scans, sentences, splitting
+from pagelight.llm import encoding, frequency, leakage, pairs, percentiles, scans, sentences, splitting, subjects
 from pagelight.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,8 +103,24 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaks.select("doc_id", "eval_id").distinct()
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    rules = subjects.mine_rules(documents, table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subject_areas"))
+    return subjects.find_subjects(documents, rules).distinct()
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each subject: the corpus composition."""
+    return p9_found(spark, sf_dir).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_terms, p1_found, p2_found, p3_pieces, p3_found, p4_day_percentiles, p4_label_percentiles, p5_sentences, p5_processed, p5_found, p6_found, p7_ids)}
+    return {f.__name__: f for f in (p1_terms, p1_found, p2_found, p3_pieces, p3_found, p4_day_percentiles, p4_label_percentiles, p5_sentences, p5_processed, p5_found, p6_found, p7_ids, p8_found, p9_found, p9_composition)}
 
 
 def _percentile_sql(groups: str) -> str:

@@ -43,7 +43,7 @@ CONFUSED = (
 AS_DIGIT = str.maketrans("OoQDlIi|!SsBZzGbqgTA", "00001111155822669974")
 AS_LETTER = str.maketrans("015867|4$(", "olsbbtlasc")
 # Characters of one shape, as (all, the one that stands for them).
-SHAPES = ("ceéèêo0(aàliíj1|!tfhb6s5gq9rpuvy", "cccccccccciiiiiiiiibbbssgggrruuu")
+SHAPES = ("ceéèêo0(aàliíj1|!tfhb6s5gq9rpuvy", "cccccccccciiiiiiittbbbssgggrruuu")
 ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 
 # Words before a page's number.
@@ -132,9 +132,12 @@ class _Page:
         self.lines = (row.original_text or "").split("\n")
         self.full = [i for i, x in enumerate(self.lines) if x.strip()]
         self.kind = ["blank"] * len(self.lines)
-        self.hints = {}
+        self.hints, self.has = {}, set()
         if row.hints is not None:
             for hint in row.hints:
+                if hint["first_line"] < 0:
+                    self.has.add(hint["label"])
+                    continue
                 for line in range(hint["first_line"], min(hint["last_line"], hint["first_line"] + 3) + 1):
                     self.hints[line] = hint["label"]
 
@@ -249,7 +252,7 @@ def label_pages(rows: pd.DataFrame) -> list[_Page]:
                 alike = repeated.get((p, i), 0.0)
                 k = page.full.index(i)
                 after_heading = k > 0 and page.kind[page.full[k - 1]] == "prose" and _HEADING.match(page.lines[page.full[k - 1]].strip())
-                if not after_heading and _could_run(bare) and (alike >= ALIKE or numbered and len(bare) < 80 or hint in ("header", "footer") and alike >= 0.35):
+                if not after_heading and _could_run(bare) and (alike >= ALIKE or numbered and len(bare) < 80 or hint in ("header", "footer") and alike >= 0.35 or ("footer" if bottom else "header") in page.has and alike >= 0.45):
                     page.kind[i] = "running_text"
                     continue
                 break
@@ -306,8 +309,9 @@ def label_lines(ocr: DataFrame, pages: DataFrame, regions: DataFrame) -> DataFra
     text = ocr.select("result_id", "page_id", "original_text").where("original_text is not null").dropDuplicates(["result_id"])
     book = pages.select("page_id", "book_id", "page_no").where("book_id is not null").dropDuplicates(["page_id"])
     label = F.regexp_replace(F.lower(F.trim("label")), r"[\s\-]+", "_")
-    hints = regions.where("first_line is not null and last_line is not null").select("region_id", "page_id", label.alias("label"), "first_line", "last_line")
-    hints = hints.where("label in ('header', 'footer', 'page_number')").dropDuplicates(["region_id"])
+    # A region without known lines still tells that its page has running text.
+    hints = regions.select("region_id", "page_id", label.alias("label"), F.coalesce("first_line", F.lit(-1)).alias("first_line"), F.coalesce("last_line", F.lit(-1)).alias("last_line"))
+    hints = hints.where("label in ('header', 'footer', 'page_number') and page_id is not null").dropDuplicates(["region_id"])
     hints = hints.groupBy("page_id").agg(F.collect_list(F.struct("label", "first_line", "last_line")).alias("hints"))
     rows = text.join(book, "page_id", "left").join(hints, "page_id", "left")
     rows = rows.withColumn("book_id", F.coalesce("book_id", -F.col("result_id") - 1)).withColumn("page_no", F.coalesce("page_no", F.lit(0)))
