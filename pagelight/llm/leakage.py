@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,7 @@ MATCH, MISMATCH, GAP, JUMP = 1, -3, -2, 6
 _WORD = re.compile(r"[^\W_]+")
 _BROKEN = re.compile(r"(?<=\w)[-‐¬­][ \t\r]*\n\s*(?=[^\W\d_])")
 _SOFT = re.compile("[­​‌‍⁠﻿]")
-_CUES = re.compile(r"^\s*(?:\d+\s*\n\s*)?\d{1,2}:\d\d(?::\d\d)?[,.]\d+\s*-->.*$|<[^<>\n]{1,60}>|&(?:[a-z]{2,6}|#\d+);|^\s*-+\s*\d+\s*-+\s*$", re.M | re.I)
+_CUES = re.compile(r"^\s*(?:\d+\s*\n\s*)?\d{1,2}:\d\d(?::\d\d)?[,.]\d+\s*-->.*$|<[^<>\n]{1,60}>|&(?:[a-z]{2,6}|#\d+);", re.M | re.I)
 
 
 def words_of(text: str) -> list[str]:
@@ -46,7 +47,7 @@ def words_of(text: str) -> list[str]:
         text = _BROKEN.sub("", text)
     if not text.isascii():
         text = _SOFT.sub("", text)
-    if "<" in text or "-->" in text or "&" in text or "- " in text:
+    if "<" in text or "-->" in text or "&" in text:
         text = _CUES.sub(" ", text)
     return _WORD.findall(text.casefold())
 
@@ -109,9 +110,8 @@ class ItemBlock:
         return np.where(known, code, -1)
 
     def ids_of(self, text: str) -> np.ndarray:
-        get = self.vocabulary.get
         found = words_of(text)
-        return np.fromiter((get(w, -1) for w in found), np.int64, len(found))
+        return np.fromiter(map(self.vocabulary.get, found, repeat(-1)), np.int64, len(found))
 
     def held(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions whose n-gram is in some passage, and its place among the grams."""
@@ -168,19 +168,30 @@ def aligned_words(passage: np.ndarray, text: np.ndarray) -> int:
     n, m = len(passage), len(text)
     if not n or not m:
         return 0
+    # A passage that stands there word for word aligns with itself.
+    for at in np.flatnonzero(text[: m - n + 1] == passage[0]) if m >= n else ():
+        if np.array_equal(text[at : at + n], passage):
+            return n
     ramp = np.arange(m + 1, dtype=np.int32)
     score = np.zeros((n + 1, m + 1), np.int32)
     # The best of all cells above and to the left, for a jump.
     before = np.zeros((n + 1, m + 1), np.int32)
+    down = GAP * ramp
+    pairs_of = {int(w): np.where(text == w, MATCH, MISMATCH).astype(np.int32) for w in np.unique(passage)}
     for i in range(1, n + 1):
-        pair = np.where(text == passage[i - 1], MATCH, MISMATCH).astype(np.int32)
-        row = np.zeros(m + 1, np.int32)
-        row[1:] = np.maximum(np.maximum(score[i - 1, :-1], before[i - 1, :-1] - JUMP) + pair, score[i - 1, 1:] + GAP)
+        row, above = score[i], score[i - 1]
+        inner = row[1:]
+        np.subtract(before[i - 1, :-1], JUMP, out=inner)
+        np.maximum(inner, above[:-1], out=inner)
+        inner += pairs_of[int(passage[i - 1])]
+        np.maximum(inner, above[1:] + GAP, out=inner)
         np.maximum(row, 0, out=row)
-        row = np.maximum.accumulate(row - GAP * ramp) + GAP * ramp
-        score[i] = row
-        before[i] = np.maximum(before[i - 1], np.maximum.accumulate(row))
-    i, j = np.unravel_index(int(score.argmax()), score.shape)
+        row -= down
+        np.maximum.accumulate(row, out=row)
+        row += down
+        np.maximum.accumulate(row, out=before[i])
+        np.maximum(before[i], before[i - 1], out=before[i])
+    i, j = (int(x) for x in np.unravel_index(int(score.argmax()), score.shape))
     pairs = 0
     while i > 0 and j > 0 and score[i, j] > 0:
         value = score[i, j]
@@ -225,7 +236,8 @@ def _search(block: ItemBlock, text: str) -> list[tuple[int, float]]:
     out = []
     for item in np.flatnonzero(hits >= block.needed):
         passage = block.words[item]
-        mine = np.isin(gram, np.searchsorted(block.grams, np.unique(block.codes(passage))))
+        codes = block.codes(passage)
+        mine = np.isin(gram, np.searchsorted(block.grams, np.unique(codes)))
         held = aligned_words(passage, _near(found, at[mine])) / len(passage)
         if held >= HELD:
             out.append((block.ids[item], held))
