@@ -25,3 +25,9 @@ def lookup_join(rows: DataFrame, table: DataFrame, on: Sequence[str], how: str =
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c, k in rows.dtypes if not k.startswith("map")]), F.lit(SALTS)).cast("int"))
     spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(spread, [*on, "_salt"], how).drop("_salt")
+
+
+def bounded_rows(table: DataFrame, most: int = BROADCAST_ROWS) -> list | None:
+    """The table's rows if there are at most `most`, else None; no more than one above that are ever fetched."""
+    rows = table.limit(most + 1).collect()
+    return rows if len(rows) <= most else None

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelight.config import TranslationSettings
-from pagelight.operators.joins import lookup_join
+from pagelight.operators.joins import bounded_rows, lookup_join
 from pagelight.operators.phrases import find_phrases
-from pagelight.operators.tokens import lemmatize, normalized_tokens
+from pagelight.operators.tokens import lemmatize, normalized_tokens, text_error, tokens_of
 
 
 def display_text(translations: Column, source: Column) -> Column:
@@ -22,18 +23,72 @@ def with_lemmas(tokens: DataFrame, key: str, lemmas: DataFrame) -> DataFrame:
     return flat.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "text", "normalized", "start_char", "end_char", "token_type"))).alias("tokens"))
 
 
-def translation_items(
-    df: DataFrame, key: str, text: str, words: DataFrame, phrases: DataFrame, settings: TranslationSettings = TranslationSettings(), lemmas: DataFrame | None = None, limited: bool = True
-) -> DataFrame:
-    """(key, item_no, source_text, normalized_tokens, translations, item_type, start_token_index, end_token_index, start_char, end_char).
+class PhraseTable:
+    """A phrase dictionary small enough to be sent to all tasks: for each first token its phrases, longest first (or shortest)."""
 
-    item_type: phrase for the greedy matches; of the other tokens number, word
-    if the dictionary has it, else unknown. words: (normalized, translations);
-    phrases: (normalized_tokens, translations); each key once. The key must be
-    unique in df. Texts without tokens have no items.
-    """
+    def __init__(self, rows: list, settings: TranslationSettings):
+        self.by_first: dict[str, list[tuple[tuple[str, ...], list[str]]]] = {}
+        for row in rows:
+            words = tuple(row["normalized_tokens"])
+            if 2 <= len(words) <= settings.max_phrase_tokens:
+                self.by_first.setdefault(words[0], []).append((words, list(row["translations"])))
+        for found in self.by_first.values():
+            found.sort(key=lambda x: len(x[0]), reverse=settings.longest_match_first)
+
+    def spans(self, words: list[str]) -> list[tuple[int, int, list[str]]]:
+        """(begin, end, translations) from left to right; behind a match the search goes on at its end."""
+        out, at = [], 0
+        get = self.by_first.get
+        while at < len(words):
+            for phrase, translations in get(words[at], ()):
+                if tuple(words[at : at + len(phrase)]) == phrase:
+                    out.append((at, at + len(phrase), translations))
+                    at += len(phrase)
+                    break
+            else:
+                at += 1
+        return out
+
+
+_ITEM = "source_text string, normalized_tokens array<string>, translations array<string>, item_type string, start_token_index int, end_token_index int, start_char int, end_char int"
+
+
+def _direct_items(df: DataFrame, key: str, text: str, phrases: list, lemmas: dict[str, str], settings: TranslationSettings, limited: bool) -> DataFrame:
+    """Items in one pass over the texts, words not yet looked up: item_type is phrase, number or word."""
+    table = df.sparkSession.sparkContext.broadcast((PhraseTable(phrases, settings), lemmas))
+    kind = df.schema[key].dataType.simpleString()
+    names = [x.split()[0] for x in _ITEM.split(", ")]
+    types = [pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), *[pa.int32()] * 4]
+    good = text_error(F.col(text), settings.max_input_characters if limited else 2**31 - 1).isNull()
+
+    def run(batches):
+        many, lemmas = table.value
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                some = batch.slice(low, 256)
+                at, columns = [], [[] for _ in names]
+                for i, value in enumerate(some.column(1).to_pylist()):
+                    found = tokens_of(value, settings)
+                    words = [lemmas.get(n, n) if k == "word" else n for _, n, _, _, k in found] if lemmas else [x[1] for x in found]
+                    place, items = 0, []
+                    for begin, end, translations in [*many.spans(words), (len(found), len(found), [])]:
+                        items += [(found[k][0], [words[k]], [], found[k][4], k, k + 1, found[k][2], found[k][3]) for k in range(place, begin)]
+                        if end > begin:
+                            first, last = found[begin][2], found[end - 1][3]
+                            items.append((value[first:last], words[begin:end], translations, "phrase", begin, end, first, last))
+                        place = end
+                    at += [i] * len(items)
+                    for column, values in zip(columns, zip(*items)):
+                        column += values
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(at, pa.int64())), *[pa.array(v, t) for v, t in zip(columns, types)]], [key, *names])
+
+    return df.select(key, text).where(good).mapInArrow(run, f"`{key}` {kind}, {_ITEM}")
+
+
+def _joined_items(df: DataFrame, key: str, text: str, phrases: DataFrame, lemmas: DataFrame | None, settings: TranslationSettings, limited: bool) -> DataFrame:
+    """What _direct_items gives, by joins: for phrase or lemma tables beyond what may be broadcast."""
     tokens = normalized_tokens(df, key, text, settings, limited)
-    if lemmas is not None and settings.lemmatize_words:
+    if lemmas is not None:
         tokens = with_lemmas(tokens, key, lemmas)
     spans = find_phrases(tokens, phrases.select("normalized_tokens", "translations"), key, settings)
     found = spans.join(df.select(key, F.col(text).alias("_whole")), key)
@@ -50,17 +105,13 @@ def translation_items(
     )
     covered = spans.groupBy(key).agg(F.flatten(F.collect_list(F.sequence("start_idx", F.col("end_idx") - 1))).alias("covered"))
     left = tokens.join(covered, key, "left")
-    # A text's covered places are sorted into a set once and taken out of its tokens before these are rows.
     rest = left.select(key, F.inline(F.when(F.col("covered").isNull(), F.col("tokens")).otherwise(F.filter("tokens", lambda t: ~F.array_contains(F.col("covered"), t["idx"])))))
-    single = lookup_join(rest, words.select("normalized", "translations"), ["normalized"])
-    number = F.col("token_type") == "number"
-    none = F.array().cast("array<string>")
-    single = single.select(
+    single = rest.select(
         key,
         F.col("text").alias("source_text"),
         F.array("normalized").alias("normalized_tokens"),
-        F.when(number | F.col("translations").isNull(), none).otherwise(F.col("translations")).alias("translations"),
-        F.when(number, "number").when(F.col("translations").isNull(), "unknown").otherwise("word").alias("item_type"),
+        F.array().cast("array<string>").alias("translations"),
+        F.col("token_type").alias("item_type"),
         F.col("idx").alias("start_token_index"),
         (F.col("idx") + 1).alias("end_token_index"),
         "start_char",
@@ -69,6 +120,42 @@ def translation_items(
     return items.unionByName(single)
 
 
+def translation_items(
+    df: DataFrame, key: str, text: str, words: DataFrame, phrases: DataFrame, settings: TranslationSettings = TranslationSettings(), lemmas: DataFrame | None = None, limited: bool = True
+) -> DataFrame:
+    """(key, source_text, normalized_tokens, translations, item_type, start_token_index, end_token_index, start_char, end_char).
+
+    item_type: phrase for the leftmost longest phrases; of the other tokens
+    number, word if the dictionary has it, else unknown. words: (normalized,
+    translations); phrases: (normalized_tokens, translations); each key once.
+    The key must be unique in df. Texts without tokens have no items.
+
+    Phrases and lemmas that are few (see joins.BROADCAST_ROWS) are sent to the
+    tasks and the texts passed once, without any exchange; more are joined.
+    """
+    used = lemmas if settings.lemmatize_words else None
+    few = bounded_rows(phrases.select("normalized_tokens", "translations"))
+    forms = bounded_rows(used.where("form is not null and lemma is not null").groupBy("form").agg(F.min("lemma").alias("lemma"))) if used is not None else []
+    if few is not None and forms is not None:
+        rows = _direct_items(df, key, text, few, {r["form"]: r["lemma"] for r in forms}, settings, limited)
+    else:
+        rows = _joined_items(df, key, text, phrases, used, settings, limited)
+    single = F.col("item_type") == "word"
+    asked = rows.withColumn("normalized", F.when(single, F.col("normalized_tokens")[0]))
+    found = lookup_join(asked, words.select("normalized", F.col("translations").alias("_found")), ["normalized"])
+    return found.select(
+        key,
+        "source_text",
+        "normalized_tokens",
+        F.when(single, F.coalesce("_found", F.array().cast("array<string>"))).otherwise(F.col("translations")).alias("translations"),
+        F.when(single & F.col("_found").isNull(), "unknown").otherwise(F.col("item_type")).alias("item_type"),
+        "start_token_index",
+        "end_token_index",
+        "start_char",
+        "end_char",
+    )
+
+
 def literal_translation(items: DataFrame, key: str) -> DataFrame:
     """(key, literal_translation): the items' display texts in order, a space between two."""
     shown = items.select(key, "start_token_index", display_text(F.col("translations"), F.col("source_text")).alias("shown"))

@@ -84,7 +84,7 @@ _DOC_ITEMS = (
         FROM matches m JOIN tok t ON t.doc_id = m.doc_id AND t.idx >= m.start_idx AND t.idx < m.end_idx GROUP BY m.doc_id, m.start_idx),
     covered AS (SELECT m.doc_id, t.idx FROM matches m JOIN tok t ON t.doc_id = m.doc_id AND t.idx >= m.start_idx AND t.idx < m.end_idx),
     shown AS (
-        SELECT i.doc_id, i.start_idx, 'phrase' AS item_type, i.normalized, p.translations, NULL AS token FROM items i JOIN phrases p ON p.normalized_tokens = i.normalized
+        SELECT i.doc_id, i.start_idx, 'phrase' AS item_type, i.normalized, p.translations, CAST(NULL AS VARCHAR) AS token FROM items i JOIN phrases p ON p.normalized_tokens = i.normalized
         UNION ALL
         SELECT t.doc_id, t.idx, CASE WHEN t.token_type = 'number' THEN 'number' WHEN w.normalized IS NULL THEN 'unknown' ELSE 'word' END, t.normalized, CASE WHEN t.token_type = 'number' THEN NULL ELSE w.translations END, t.token
         FROM tok t ANTI JOIN covered c ON c.doc_id = t.doc_id AND c.idx = t.idx LEFT JOIN words w ON w.normalized = t.normalized)"""
@@ -96,10 +96,22 @@ _SKIP = f"""CASE WHEN length(token) < 2 THEN 'token_too_short' WHEN length(token
     WHEN contains(token, '-') THEN 'token_contains_hyphen' WHEN regexp_full_match(token, '[A-Z]+') THEN 'token_is_acronym'
     WHEN NOT regexp_full_match(token, '[a-z]+|[A-Z]+|[A-Z][a-z]*') THEN 'token_has_mixed_case' WHEN regexp_full_match(token, '[A-Z][a-z]*') AND NOT ({_OPENS}) THEN 'token_may_be_proper_name' END"""
 _VOCABULARY = f"SELECT term, CAST(sum(frequency) AS BIGINT) AS frequency FROM (SELECT {_strip('lower(term)')} AS term, frequency FROM frequency_terms) WHERE term <> '' AND frequency IS NOT NULL AND NOT regexp_matches(term, '\\s') GROUP BY term HAVING sum(frequency) >= 1"
+# The engine measures bytes: a letter beyond ASCII, which no token has, is made one that no token has.
+_PLAIN_TERM = "regexp_replace(term, '[^\\x00-\\x7F]', '#', 'g')"
+
+
+def _within(a: str, b: str, most: str) -> str:
+    """Distance at most `most` where a swapped pair is not edited again: the engine's own distance may edit it."""
+    swap = f"substr({a}, i + 1, 1) || substr({a}, i, 1)"
+    return f"""(damerau_levenshtein({a}, {b}) <= {most} AND (damerau_levenshtein({a}, {b}) <= 1 OR levenshtein({a}, {b}) <= 2 OR len(list_filter(range(1, length({a})), lambda i:
+        (starts_with({b}, left({a}, i - 1) || {swap}) AND damerau_levenshtein(substr({a}, i + 2), substr({b}, i + 2)) <= 1)
+        OR (suffix({b}, {swap} || substr({a}, i + 2)) AND damerau_levenshtein(left({a}, i - 1), left({b}, length({b}) - length(substr({a}, i + 2)) - 2)) <= 1))) > 0))"""
+
+
 _CORRECT = f"""WITH ocr AS MATERIALIZED (SELECT *, {_SKIP} AS skipped FROM ({_OCR})), vocabulary AS MATERIALIZED ({_VOCABULARY}),
     asked AS MATERIALIZED (SELECT DISTINCT token FROM ocr WHERE skipped IS NULL),
     absent AS MATERIALIZED (SELECT token, lower(token) AS word FROM asked WHERE lower(token) NOT IN (SELECT term FROM vocabulary)),
-    near AS MATERIALIZED (SELECT token, term, CAST(damerau_levenshtein(word, term) AS INTEGER) AS distance, frequency FROM absent JOIN vocabulary ON abs(length(word) - length(term)) <= 2 AND damerau_levenshtein(word, term) <= CASE WHEN length(word) <= 4 THEN 1 ELSE 2 END),
+    near AS MATERIALIZED (SELECT token, term, CAST(damerau_levenshtein(word, {_PLAIN_TERM}) AS INTEGER) AS distance, frequency FROM absent JOIN vocabulary ON abs(length(word) - length(term)) <= 2 AND {_within('word', _PLAIN_TERM, 'CASE WHEN length(word) <= 4 THEN 1 ELSE 2 END')}),
     top AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY distance, frequency DESC, term) AS place FROM near QUALIFY place <= 5),
     least AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY frequency DESC, term) AS rank, lead(frequency) OVER (PARTITION BY token ORDER BY frequency DESC, term) AS next FROM (SELECT *, min(distance) OVER (PARTITION BY token) AS m FROM top) WHERE distance = m),
     chosen AS (SELECT token, term, distance, frequency, length(token) > 4 OR next IS NULL OR frequency >= 2 * next AS clear FROM least WHERE rank = 1),
@@ -147,8 +159,8 @@ def oracle_sql() -> dict[str, str]:
         "correct_skip_reason": f"SELECT coalesce({_SKIP}, 'looked_up') AS reason, count(*) AS n FROM ({_OCR}) GROUP BY ALL",
         "vocab_frequency": _VOCABULARY,
         "vocab_contains": f"SELECT token, coalesce(frequency, 0) AS frequency, frequency IS NOT NULL AS present FROM (SELECT DISTINCT token FROM ({_OCR})) LEFT JOIN ({_VOCABULARY}) ON lower(token) = term",
-        "suggest_topk": f"""SELECT token, term, CAST(damerau_levenshtein(lower(token), term) AS INTEGER) AS distance, frequency, row_number() OVER (PARTITION BY token ORDER BY damerau_levenshtein(lower(token), term), frequency DESC, term) AS place
-            FROM (SELECT DISTINCT token FROM ({_OCR}) WHERE length(token) BETWEEN 2 AND 64 AND lower(token) NOT IN (SELECT term FROM ({_VOCABULARY}))) JOIN ({_VOCABULARY}) ON abs(length(token) - length(term)) <= 2 AND damerau_levenshtein(lower(token), term) <= 2 QUALIFY place <= 5""",
+        "suggest_topk": f"""SELECT token, term, CAST(damerau_levenshtein(lower(token), {_PLAIN_TERM}) AS INTEGER) AS distance, frequency, row_number() OVER (PARTITION BY token ORDER BY damerau_levenshtein(lower(token), {_PLAIN_TERM}), frequency DESC, term) AS place
+            FROM (SELECT DISTINCT token FROM ({_OCR}) WHERE length(token) BETWEEN 2 AND 64 AND lower(token) NOT IN (SELECT term FROM ({_VOCABULARY}))) JOIN ({_VOCABULARY}) ON abs(length(token) - length(term)) <= 2 AND {_within('lower(token)', _PLAIN_TERM, '2')} QUALIFY place <= 5""",
         "correct_select": f"{_CORRECT} SELECT * FROM fixed",
         "correct_tokens": f"{_CORRECT} SELECT result_id, token_no, original, corrected, changed, distance, reason FROM audit",
         "correct_text": f"""{_CORRECT}, parts AS (SELECT a.result_id, a.start_char, substr(p.original_text, CAST(coalesce(lag(a.end_char) OVER (PARTITION BY a.result_id ORDER BY a.token_no), 0) + 1 AS BIGINT), CAST(a.start_char - coalesce(lag(a.end_char) OVER (PARTITION BY a.result_id ORDER BY a.token_no), 0) AS BIGINT)) || a.corrected AS part
@@ -166,5 +178,5 @@ def oracle_sql() -> dict[str, str]:
         "nmt_clean": f"SELECT DISTINCT translation_id, {_collapse('translated_text')} AS translated_text FROM translation_results",
         "input_validation": "SELECT doc_id, CASE WHEN text IS NULL THEN 'null_text' WHEN length(text) > 10000 THEN 'too_long' ELSE 'ok' END AS error FROM documents",
         "image_validation": "SELECT CASE WHEN image_width IS NULL OR image_height IS NULL THEN 'no_image' WHEN image_height < 16 THEN 'too_low' WHEN image_width < 1000 THEN 'too_narrow' WHEN image_width::BIGINT * image_height > 2100000 THEN 'too_many_pixels' ELSE 'ok' END AS error, count(*) AS n FROM (SELECT DISTINCT page_id, image_width, image_height FROM layout_pages) GROUP BY ALL",
-        "ocr_flatten": f"SELECT result_id, CAST(pos - 1 AS INTEGER) AS line_no, text, [0.5, 0.25, 0.75]::DOUBLE[][pos] AS score FROM (SELECT result_id, unnest(lines) AS text, generate_subscripts(lines, 1) AS pos FROM (SELECT result_id, string_split(original_text, chr(10)) AS lines FROM ({_PAGES}) WHERE original_text IS NOT NULL))",
+        "ocr_flatten": f"SELECT result_id, CAST(pos - 1 AS INTEGER) AS line_no, text, list_extract([0.5, 0.25, 0.75], pos)::DOUBLE AS score FROM (SELECT result_id, unnest(lines) AS text, generate_subscripts(lines, 1) AS pos FROM (SELECT result_id, string_split(original_text, chr(10)) AS lines FROM ({_PAGES}) WHERE original_text IS NOT NULL))",
     }

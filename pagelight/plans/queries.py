@@ -94,7 +94,7 @@ def phrase_shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leftmost longest phrases that don't overlap."""
-    found = phrases.find_phrases(_document_tokens(spark, sf_dir), pinned(_phrases(spark, sf_dir)), "doc_id", SETTINGS)
+    found = phrases.find_phrases(pinned(_document_tokens(spark, sf_dir)), pinned(_phrases(spark, sf_dir)), "doc_id", SETTINGS)
     return found.select("doc_id", "start_idx", "end_idx", "start_char", "end_char")
 
 
