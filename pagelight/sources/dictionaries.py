@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,24 +14,34 @@ class DictionaryLoadError(RuntimeError):
     """A dictionary can't be read, or holds nothing."""
 
 
+#: A dictionary file is one JSON document; it is parsed whole, so its size is bounded.
+JSON_BYTES = 256 << 20
+
+
 def read_translation_json(spark: SparkSession, path: str, replace: bool = False) -> DataFrame:
     """(ord, word, translations, replace) of a JSON object word -> string or list of strings.
 
     Of a key that stands twice the last value counts. ord is the order in the
-    file. Values that are neither are an error, as is a root that is no object.
+    file. A root that is no object, and values of another kind, are an error.
     """
     try:
-        text = spark.read.text(path, wholetext=True).select("value")
-        bad = text.where(F.try_parse_json("value").isNull() | (F.schema_of_variant(F.try_parse_json("value")).like("OBJECT%") == F.lit(False))).limit(1).count()
+        files = spark.read.format("binaryFile").load(path).where(F.col("length") <= JSON_BYTES).select("content").limit(2).collect()
+        if len(files) != 1:
+            raise DictionaryLoadError(f"{path} is not one file of at most {JSON_BYTES} bytes")
+        found = json.loads(bytes(files[0]["content"]).decode("utf-8"))
+    except DictionaryLoadError:
+        raise
     except Exception as error:
         raise DictionaryLoadError(f"cannot read {path}") from error
-    if bad:
+    if not isinstance(found, dict):
         raise DictionaryLoadError(f"{path} is no JSON object")
-    rows = text.select(F.posexplode(F.json_object_keys("value")).alias("ord", "word"), "value")
-    parsed = text.select(F.explode(F.from_json("value", "map<string,string>", {"allowDuplicateKeys": "true"})).alias("word", "raw"))
-    rows = rows.select("ord", "word").groupBy("word").agg(F.max("ord").alias("ord")).join(parsed.groupBy("word").agg(F.last("raw").alias("raw")), "word")
-    several = F.from_json("raw", "array<string>")
-    return rows.select(F.col("ord").cast("long").alias("ord"), "word", F.when(F.col("raw").rlike(r"^\s*\["), several).otherwise(F.array("raw")).alias("translations"), F.lit(replace).alias("replace"))
+    rows = []
+    for number, (word, value) in enumerate(found.items()):
+        values = [value] if isinstance(value, str) else value
+        if not isinstance(values, list) or not all(isinstance(x, str) for x in values):
+            raise DictionaryLoadError(f"{path}: {word!r} has neither a string nor a list of strings")
+        rows.append((number, word, values, replace))
+    return spark.createDataFrame(rows, "ord long, word string, translations array<string>, replace boolean")
 
 
 def read_frequencies(spark: SparkSession, path: str, settings: CorrectionSettings = CorrectionSettings()) -> DataFrame:

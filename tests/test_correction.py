@@ -1,0 +1,103 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from pagelight.config import CorrectionSettings
+from pagelight.functions.distance import osa, osa_distance
+from pagelight.operators import correction, vocabulary
+
+TEXTS = [
+    "I havc a problcm with this machinc.",
+    "We wlth need to check the systcm again.",
+    "This applicatlon can translate English subtitles.",
+    "OpenAI uses PaddleOCR in this example.",
+    "I am form Vietnam.",
+    "CPU and GPU are both supported.",
+    "end\nTitle don't well-known",
+]
+FREQUENCIES = {"have": 100, "hive": 60, "problem": 90, "with": 500, "this": 400, "machine": 80, "system": 70, "application": 30, "the": 900, "form": 20, "from": 300, "we": 50, "need": 40}
+
+
+@pytest.fixture(scope="module")
+def words(spark):
+    return spark.createDataFrame(list(FREQUENCIES.items()), "term string, frequency long")
+
+
+def corrected(spark, words, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    return df, {(r.id, r.original): r for r in correction.correct(df, "id", "text", words).collect()}
+
+
+def test_reasons(spark, words):
+    _, out = corrected(spark, words, TEXTS)
+    assert out[0, "I"].reason == "token_too_short"
+    assert out[0, "problcm"].corrected == "problem"
+    assert out[0, "machinc"].corrected == "machine"
+    assert out[1, "wlth"].corrected == "with"
+    assert out[2, "English"].reason == "token_may_be_proper_name"
+    assert out[2, "applicatlon"].corrected == "application"
+    assert out[3, "OpenAI"].reason == "token_has_mixed_case"
+    assert out[4, "form"].reason == "token_exists_in_dictionary"
+    assert out[5, "CPU"].reason == "token_is_acronym"
+    assert out[6, "Title"].reason == "token_may_be_proper_name"
+    assert out[6, "don't"].reason == "token_contains_apostrophe"
+    assert out[6, "well-known"].reason == "token_contains_hyphen"
+
+
+def test_texts_are_rebuilt(spark, words):
+    texts = [*TEXTS, "", None, "no change", "hte hte", "Problcm. PROBLCM"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    out = {r.id: r.corrected_text for r in correction.correct_texts(df, "id", "text", words).collect()}
+    assert out[0] == "I have a problem with this machine."[:2] + out[0][2:6] + " a problem with this machine."
+    assert out[7] == "" and out[8] is None and out[9] == "no change"
+    assert out[10] == "the the"
+    assert out[11] == "Problem. PROBLCM"
+
+
+def test_short_tokens_need_a_clear_winner(spark):
+    def outcome(frequencies, token):
+        table = spark.createDataFrame(list(frequencies.items()), "term string, frequency long")
+        row = correction.correct_tokens(spark.createDataFrame([(token,)], "token string"), table).first()
+        return row.corrected, row.reason
+
+    assert outcome({"have": 100, "hive": 60}, "hxve") == ("hxve", "candidate_is_ambiguous")
+    assert outcome({"have": 100, "hive": 50}, "hxve") == ("have", "non_word_corrected")
+    assert outcome({"have": 100}, "hxve") == ("have", "non_word_corrected")
+    assert outcome({"planet": 5, "planes": 9}, "planex") == ("planes", "non_word_corrected")
+    assert outcome({"planes": 9, "planet": 9}, "planex") == ("planes", "non_word_corrected")
+    assert outcome({"have": 1}, "zzzzz") == ("zzzzz", "no_candidate_found")
+
+
+def test_suggestions_equal_brute_force(spark):
+    rng = random.Random(5)
+    terms = {"".join(rng.choice("abcd") for _ in range(rng.randint(2, 9))): rng.randint(1, 50) for _ in range(150)}
+    asked = ["".join(rng.choice("abcd") for _ in range(rng.randint(2, 9))) for _ in range(60)] + ["", None, "x" * 70]
+    table = spark.createDataFrame(list(terms.items()), "term string, frequency long")
+    out = {}
+    for r in vocabulary.suggest(spark.createDataFrame([(a,) for a in asked], "token string"), table).collect():
+        out.setdefault(r.token, []).append((r.place, r.distance, -r.frequency, r.term))
+    for token in {a for a in asked if a and len(a) <= 64}:
+        due = sorted((osa(token, t), -n, t) for t, n in terms.items() if osa(token, t) <= 2)[:5]
+        assert [x[1:] for x in sorted(out.get(token, []))] == due
+
+
+def test_distance(spark):
+    pairs = [("hte", "the", 1), ("ca", "abc", None), ("", "ab", 2), ("abc", "abc", 0), ("abcd", "badc", 2), ("abc", "xyz", None)]
+    rows = spark.createDataFrame([(a, b) for a, b, _ in pairs], "a string, b string")
+    assert [r.d for r in rows.select(osa_distance(F.col("a"), F.col("b")).alias("d")).collect()] == [d for _, _, d in pairs]
+
+
+def test_frequency_table(spark):
+    rows = [("The ", 5), ("the", 7), (None, 1), (" ", 2), ("x", None), ("two words", 3)]
+    table = vocabulary.frequency_table(spark.createDataFrame(rows, "term string, frequency long"))
+    assert [(r.term, r.frequency) for r in table.collect()] == [("the", 12)]
+    more = vocabulary.add_words(table, spark.createDataFrame([("THE", 0), ("new", 4)], "term string, frequency long"))
+    assert {r.term: r.frequency for r in more.collect()} == {"the": 13, "new": 4}
+
+
+def test_settings_are_checked():
+    with pytest.raises(ValueError):
+        CorrectionSettings(max_lookup_edit_distance=3)
+    with pytest.raises(ValueError):
+        CorrectionSettings(term_index=1)
