@@ -17,6 +17,7 @@ from pagelight.config import CorrectionSettings
 from pagelight.functions.chars import ASCII_TOKEN
 from pagelight.operators.joins import lookup_join
 from pagelight.operators.vocabulary import suggest
+from pagelight.session import spread
 
 SHORT = 4
 #: A short token is corrected only if the best term is this many times as frequent as the next.
@@ -54,7 +55,7 @@ def correction_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(at, pa.int64())), *columns], [key, "idx", "token", "start_char", "end_char", "opens"])
 
     good = F.col(text).isNotNull() & (F.instr(text, "\0") == 0)
-    return df.select(key, text).where(good).mapInArrow(run, f"`{key}` {kind}, idx int, token string, start_char int, end_char int, opens boolean")
+    return spread(df.select(key, text).where(good)).mapInArrow(run, f"`{key}` {kind}, idx int, token string, start_char int, end_char int, opens boolean")
 
 
 def skip_reason(token: Column, opens: Column, settings: CorrectionSettings = CorrectionSettings()) -> Column:

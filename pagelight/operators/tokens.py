@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pagelight.config import TranslationSettings
 from pagelight.functions.chars import APOSTROPHES, ASCII_TOKEN, HYPHENS, TOKEN
 from pagelight.operators.joins import lookup_join
+from pagelight.session import spread
 
 # Python's own spelling of the token patterns. [^\W\d_] is what chars.WORD lists.
 _WORD = "[^\\W\\d_]+(?:['’\\-‐-‒–—−][^\\W\\d_]+)*"
@@ -83,7 +84,7 @@ def _pass(df: DataFrame, key: str, text: str, limit: int | None, find, names: li
                     arrays.append(pa.array(values, pa.int32() if name in ("idx", "start_char", "end_char") else pa.string()))
                 yield pa.RecordBatch.from_arrays(arrays, [key, *names])
 
-    return df.select(key, text).where(good).mapInArrow(run, f"`{key}` {kind}, {schema}")
+    return spread(df.select(key, text).where(good)).mapInArrow(run, f"`{key}` {kind}, {schema}")
 
 
 def tokenize(df: DataFrame, key: str, text: str, settings: TranslationSettings = TranslationSettings(), lemmas: DataFrame | None = None, limited: bool = True) -> DataFrame:
@@ -128,7 +129,7 @@ def normalized_tokens(df: DataFrame, key: str, text: str, settings: TranslationS
                     rows.append([{"idx": i, "text": a, "normalized": b, "start_char": c, "end_char": d, "token_type": e} for i, (a, b, c, d, e) in enumerate(tokens_of(value, settings))])
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(rows, pa.list_(struct))], [key, "tokens"])
 
-    return df.select(key, text).where(good).mapInArrow(run, f"`{key}` {kind}, tokens array<{TOKEN_STRUCT}>")
+    return spread(df.select(key, text).where(good)).mapInArrow(run, f"`{key}` {kind}, tokens array<{TOKEN_STRUCT}>")
 
 
 def token_texts(text: Column) -> Column:

@@ -10,6 +10,7 @@ from pagelight.config import TranslationSettings
 from pagelight.operators.joins import bounded_rows, lookup_join
 from pagelight.operators.phrases import find_phrases
 from pagelight.operators.tokens import lemmatize, normalized_tokens, text_error, tokens_of
+from pagelight.session import spread
 
 
 def display_text(translations: Column, source: Column) -> Column:
@@ -82,7 +83,7 @@ def _direct_items(df: DataFrame, key: str, text: str, phrases: list, lemmas: dic
                         column += values
                 yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(at, pa.int64())), *[pa.array(v, t) for v, t in zip(columns, types)]], [key, *names])
 
-    return df.select(key, text).where(good).mapInArrow(run, f"`{key}` {kind}, {_ITEM}")
+    return spread(df.select(key, text).where(good)).mapInArrow(run, f"`{key}` {kind}, {_ITEM}")
 
 
 def _joined_items(df: DataFrame, key: str, text: str, phrases: DataFrame, lemmas: DataFrame | None, settings: TranslationSettings, limited: bool) -> DataFrame:

@@ -63,3 +63,16 @@ def pinned(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on at least as many tasks as there are cores.
+
+    A table that is one small file would otherwise be a single task for the
+    Python passes. Tables of more files or blocks than cores, all large ones
+    that is, stay as they are and are not shuffled; neither are streams.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
