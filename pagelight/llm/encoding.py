@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from pagelight.session import spread
+
 # Fixed value: the published pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -125,4 +127,4 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", ranks_path: s
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, 512), lists], [key, "ids"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind.simpleString()}, ids array<int>")
+    return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {kind.simpleString()}, ids array<int>")

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelight.llm.sentences import sentences
+from pagelight.session import spread
 
 #: Words of a seed; test items of one block; share of an item's n-grams that are seeds.
 GRAM, BLOCK, SEEDS = 3, 2_000, 0.5
@@ -256,7 +257,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text
     blocks = parts.withColumn("block", F.spark_partition_id())
     out = None
     kind = documents.schema[key].dataType.simpleString()
-    rows = documents.select(key, text).where(F.col(text).isNotNull())
+    rows = spread(documents.select(key, text).where(F.col(text).isNotNull()))
     collected: dict[int, list] = {}
     for row in blocks.toLocalIterator():
         collected.setdefault(row["block"], []).append(row)

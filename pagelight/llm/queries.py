@@ -67,6 +67,11 @@ def _rounded(rows: DataFrame) -> DataFrame:
     return rows.select(*[F.round(c, 9).alias(c) if kind == "double" else F.col(c) for c, kind in rows.dtypes])
 
 
+def p4_day_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days' results themselves: bucket counts per label and day, which add up over any set of days."""
+    return _day_counts(spark, sf_dir)
+
+
 def p4_day_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of confidence per label and day of seen_at."""
     return _rounded(percentiles.percentiles(_day_counts(spark, sf_dir), ["label", "day"]))
@@ -120,7 +125,7 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_terms, p1_found, p2_found, p3_pieces, p3_found, p4_day_percentiles, p4_label_percentiles, p5_sentences, p5_processed, p5_found, p6_found, p7_ids, p8_found, p9_found, p9_composition)}
+    return {f.__name__: f for f in (p1_terms, p1_found, p2_found, p3_pieces, p3_found, p4_day_counts, p4_day_percentiles, p4_label_percentiles, p5_sentences, p5_processed, p5_found, p6_found, p7_ids, p8_found, p9_found, p9_composition)}
 
 
 def _percentile_sql(groups: str) -> str:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelight.session import spread
+
 LIMIT, OVERLAP = 5000, 200
 # The best kind of boundary is taken that lies in the last (1 - KEEP) of a piece.
 KEEP = 0.5
@@ -139,4 +141,4 @@ def split_texts(df: DataFrame, key: str, text: str, limit: int = LIMIT, overlap:
                     [key, "piece_no", "n_pieces", "start_char", "end_char", "piece"],
                 )
 
-    return df.select(key, text).where(F.col(text).isNotNull()).mapInArrow(run, f"`{key}` {kind}, piece_no int, n_pieces int, start_char int, end_char int, piece string")
+    return spread(df.select(key, text).where(F.col(text).isNotNull())).mapInArrow(run, f"`{key}` {kind}, piece_no int, n_pieces int, start_char int, end_char int, piece string")

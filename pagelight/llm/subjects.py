@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelight.session import spread
+
 #: Labelled documents that rules are mined from (about; all if there are fewer), chosen by a hash of the id.
 FIT_DOCUMENTS = 4_000
 #: A rule's words stand in this many sentences of the fit at least, together with its subject.
@@ -126,7 +128,7 @@ def mine_rules(documents: DataFrame, labels: DataFrame, subjects: DataFrame, row
     names = [r[0] for r in subjects.where("subject is not null").select(F.lower(F.trim("subject")).alias("subject")).distinct().orderBy("subject").limit(1000).collect()]
     sample = _training(labels, names, rows)
     text = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
-    lines = text.select("subject", "text").mapInPandas(_sentence_rows, "subject string, words array<string>").cache()
+    lines = spread(text.select("subject", "text")).mapInPandas(_sentence_rows, "subject string, words array<string>").cache()
     by_word = lines.select("subject", F.explode("words").alias("word")).groupBy("word", "subject").agg(F.count(F.lit(1)).alias("n"))
     prior = {r[0]: r[1] for r in lines.groupBy("subject").count().collect()}
     total = sum(prior.values())
@@ -210,4 +212,4 @@ def find_subjects(documents: DataFrame, rules: Rules, key: str = "doc_id", text:
                     subject.append(rules.subjects[k])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(subject, pa.string())], [key, "subject"])
 
-    return documents.select(key, text).where(F.col(text).isNotNull()).mapInArrow(run, f"`{key}` {kind}, subject string")
+    return spread(documents.select(key, text).where(F.col(text).isNotNull())).mapInArrow(run, f"`{key}` {kind}, subject string")
