@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 # Python's str.isspace() set, as the inside of a regex class.
 WS = "\\x09-\\x0D\\x1C-\\x20\x85\xa0  -     　"
 
+#: The same set, character by character.
+WS_CHARS = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
 # The token patterns.
 WORD = "[\\p{L}\\p{Nl}\\p{No}]+(?:['’\\-‐-‒–—−][\\p{L}\\p{Nl}\\p{No}]+)*"
 NUMBER = "\\p{Nd}+(?:[.,:/\\-]\\p{Nd}+)*"
@@ -29,12 +32,12 @@ HYPHENS = "‐‒–—−"
 
 def strip_ws(col: Column) -> Column:
     """str.strip() with Python's white space."""
-    return F.regexp_replace(col, f"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(col, F.lit(WS_CHARS))
 
 
 def rstrip_ws(col: Column) -> Column:
     """str.rstrip() with Python's white space."""
-    return F.regexp_replace(col, f"[{WS}]+$", "")
+    return F.rtrim(col, F.lit(WS_CHARS))
 
 
 def collapse_ws(col: Column) -> Column:

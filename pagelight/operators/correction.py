@@ -17,7 +17,7 @@ from pagelight.config import CorrectionSettings
 from pagelight.functions.chars import ASCII_TOKEN
 from pagelight.operators.joins import lookup_join
 from pagelight.operators.vocabulary import suggest
-from pagelight.session import spread
+from pagelight.session import pinned, spread
 
 SHORT = 4
 #: A short token is corrected only if the best term is this many times as frequent as the next.
@@ -118,7 +118,8 @@ def correct_tokens(words: DataFrame, vocabulary: DataFrame, settings: Correction
 def correct(df: DataFrame, key: str, text: str, vocabulary: DataFrame, settings: CorrectionSettings = CorrectionSettings()) -> DataFrame:
     """(key, token_no, original, corrected, start_char, end_char, changed, distance, frequency, reason): each token's correction."""
     tokens = correction_tokens(df, key, text).withColumn("skipped", skip_reason(F.col("token"), F.col("opens"), settings))
-    fixed = correct_tokens(tokens.where("skipped is null"), vocabulary, settings)
+    # Measured before it is joined: written once, not computed twice.
+    fixed = pinned(correct_tokens(tokens.where("skipped is null"), vocabulary, settings))
     rows = lookup_join(tokens, fixed.withColumnRenamed("reason", "found"), ["token"])
     changed = F.col("skipped").isNull() & F.coalesce("changed", F.lit(False))
     return rows.select(

@@ -39,7 +39,8 @@ def normalize_label(raw: Column, settings: LayoutSettings = LayoutSettings()) ->
     """The simple label of a raw one; other for unknown ones and null."""
     plain = F.translate(F.lower(strip_ws(raw)), " -", "__")
     table = F.create_map(*[F.lit(x) for pair in settings.label_mapping.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, plain), F.lit("other"))
+    # Most labels are spelled plainly already.
+    return F.coalesce(F.try_element_at(table, raw), F.try_element_at(table, plain), F.lit("other"))
 
 
 def normalize_boxes(df: DataFrame, label: str, cls: str, score: str, coordinates: list[str], width: str, height: str, settings: LayoutSettings = LayoutSettings()) -> DataFrame:
@@ -52,20 +53,23 @@ def normalize_boxes(df: DataFrame, label: str, cls: str, score: str, coordinates
     """
     raw = [F.col(c).try_cast("double") for c in coordinates]
     keep = [c for c in df.columns if c not in (label, cls, score, *coordinates)]
-    named = df.select(
-        *keep,
+    # inline() keeps the optimizer from writing each expression out wherever it is used:
+    # a projection that large would no longer be compiled.
+    parts = F.struct(
         F.coalesce(strip_ws(F.col(label)), F.lit("None")).alias("raw_label"),
         normalize_label(F.col(label), settings).alias("label"),
         class_id(F.col(cls)).alias("class_id"),
         safe_number(F.col(score)).alias("confidence"),
         *[c.alias(f"_{i}") for i, c in enumerate(raw)],
-    ).where(F.col("confidence") >= settings.confidence_threshold)
+    )
+    named = df.select(*keep, F.inline(F.array(parts))).where(F.col("confidence") >= settings.confidence_threshold)
     for i in range(4):
         named = named.where(F.col(f"_{i}").isNotNull() & ~F.isnan(f"_{i}") & (F.abs(f"_{i}") < 2**31))
     corners = {"x1": F.floor(F.least("_0", "_2")), "y1": F.floor(F.least("_1", "_3")), "x2": F.ceil(F.greatest("_0", "_2")), "y2": F.ceil(F.greatest("_1", "_3"))}
     if settings.clip_boxes_to_image:
         corners = {k: F.greatest(F.lit(0), F.least(v, F.col(width if k[0] == "x" else height))) for k, v in corners.items()}
-    boxed = named.select(*keep, *[v.cast("int").alias(k) for k, v in corners.items()], "label", "raw_label", "class_id", "confidence").where("x2 > x1 and y2 > y1")
+    box = F.inline(F.array(F.struct(*[v.cast("int").alias(k) for k, v in corners.items()])))
+    boxed = named.select(*keep, box, "label", "raw_label", "class_id", "confidence").where("x2 > x1 and y2 > y1")
     return boxed if settings.keep_other_regions else boxed.where("label <> 'other'")
 
 

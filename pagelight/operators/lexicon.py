@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pagelight.config import TranslationSettings
 from pagelight.functions.chars import strip_ws
 from pagelight.operators.tokens import lemmatize, normalized_tokens
+from pagelight.session import pinned
 
 
 def clean_translations(column: Column) -> Column:
@@ -70,13 +71,13 @@ def word_lexicon(entries: DataFrame, settings: TranslationSettings = Translation
     word_errors for them.
     """
     good = word_errors(keyed_entries(entries, source, settings, lemmas), source).where("error is null")
-    return merge_entries(good.withColumn("normalized", F.col("tokens")[0]["normalized"]), "normalized", source)
+    return merge_entries(pinned(good.withColumn("normalized", F.col("tokens")[0]["normalized"]).drop("tokens", "error")), "normalized", source)
 
 
 def phrase_lexicon(entries: DataFrame, settings: TranslationSettings = TranslationSettings(), lemmas: DataFrame | None = None, source: str = "phrase") -> DataFrame:
     """(normalized_tokens, phrase, translations) of entries(ord, phrase, translations, replace)."""
     good = phrase_errors(keyed_entries(entries, source, settings, lemmas), source, settings).where("error is null")
-    return merge_entries(good.withColumn("normalized_tokens", F.transform("tokens", lambda t: t["normalized"])), "normalized_tokens", source)
+    return merge_entries(pinned(good.withColumn("normalized_tokens", F.transform("tokens", lambda t: t["normalized"])).drop("tokens", "error")), "normalized_tokens", source)
 
 
 def contains_words(words: DataFrame, lexicon: DataFrame, word: str = "word") -> DataFrame:

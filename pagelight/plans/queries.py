@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagelight.config import RAW_LABELS, CorrectionSettings, LayoutSettings, NeuralSettings, RecognitionSettings, TranslationSettings
 from pagelight.operators import correction, layout, lexicon, neural, phrases, recognition, tokens, translation, vocabulary
-from pagelight.session import pinned, table
+from pagelight.session import pinned, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 SETTINGS = TranslationSettings()
@@ -167,7 +167,7 @@ def correct_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _raw_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes made from order lines; the raw labels and one unknown come in turn."""
     names = F.array(*[F.lit(x) for x in (*RAW_LABELS, "Mystery Box")])
-    rows = table(spark, sf_dir, "lineitem")
+    rows = spread(table(spark, sf_dir, "lineitem"))
     x1, y1 = F.col("l_quantity") * 30 - 100, F.col("l_partkey") % 900 - 40.5
     return rows.select(
         F.col("l_orderkey").alias("page_id"),
