@@ -36,6 +36,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.places(*tables)
 
 
+def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The books' continuous text."""
+    tables = [table(spark, sf_dir, x) for x in ("ocr_results", "layout_pages", "layout_regions", "frequency_terms")]
+    return scans.paragraphs(*tables)
+
+
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ordered pieces of every source_text."""
     rows = table(spark, sf_dir, "translation_results")
@@ -125,7 +131,7 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_terms, p1_found, p2_found, p3_pieces, p3_found, p4_day_counts, p4_day_percentiles, p4_label_percentiles, p5_sentences, p5_processed, p5_found, p6_found, p7_ids, p8_found, p9_found, p9_composition)}
+    return {f.__name__: f for f in (p1_terms, p1_found, p2_found, p2_paragraphs, p3_pieces, p3_found, p4_day_counts, p4_day_percentiles, p4_label_percentiles, p5_sentences, p5_processed, p5_found, p6_found, p7_ids, p8_found, p9_found, p9_composition)}
 
 
 def _percentile_sql(groups: str) -> str:

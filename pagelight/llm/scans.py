@@ -391,6 +391,8 @@ def misreadings(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     judged = pairs.join(mine, "token").join(theirs, "printed")
     odd = F.col("token").rlike(r"\p{L}[^\p{L}'’\-]+\p{L}|^[0-9|(]+\p{L}|\p{L}[0-9|(]+$")
     name = F.col("named") == F.col("n")
+    # Words of two letters are near too many others.
+    long = (F.length("token") > 2) | (F.length("token") == F.length("printed")) & ((F.translate("token", *SHAPES) == F.translate("printed", *SHAPES)) | swapped)
     # Two names may well differ by a letter: it must be one of the same shape, or none at all.
     same_shape = (F.translate("token", *SHAPES) == F.translate("printed", *SHAPES)) | (F.length("token") != F.length("printed")) | swapped
     enough = (
@@ -399,7 +401,7 @@ def misreadings(words: DataFrame, ratio: int = RATIO) -> DataFrame:
         .when(F.col("sure"), F.when(name & (F.col("n") > 2), F.col("m") >= ratio * F.col("n")).otherwise((F.col("n") <= 2) | (F.col("m") >= 2 * F.col("n"))))
         .otherwise(same_shape & (F.col("m") >= ratio * F.col("n")))
     )
-    ranked = judged.where(enough).groupBy("token").agg(F.max_by("printed", F.struct(F.col("sure").cast("int"), "m", "printed")).alias("printed"))
+    ranked = judged.where(enough & long).groupBy("token").agg(F.max_by("printed", F.struct(F.col("sure").cast("int"), "m", "printed")).alias("printed"))
     return ranked
 
 
@@ -431,16 +433,88 @@ def line_breaks(lines: DataFrame, words: DataFrame) -> DataFrame:
     return parts.join(kept, "hyphened", "left_anti").select("result_id", "line_no").unionByName(alone)
 
 
-def places(ocr: DataFrame, pages: DataFrame, regions: DataFrame, terms: DataFrame, corrections: DataFrame | None = None) -> DataFrame:
-    """(result_id, line_no, kind): running_text, page_number, hyphen_break and misread lines; distinct."""
+def _repaired(text: str, fixes) -> str:
+    """A line with its misread words put right, in their own case."""
+    for fix in fixes if fixes is not None else ():
+
+        def put(m, printed=fix["printed"]):
+            seen = m[0]
+            return printed.upper() if len(seen) > 1 and seen.isupper() else printed[:1].upper() + printed[1:] if seen[:1].isupper() else printed
+
+        text = re.sub(rf"(?<!\w){re.escape(fix['token'])}(?!\w)", put, text, flags=re.I)
+    return text
+
+
+def _paragraph_group(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values(["page_no", "result_id", "line_no"])
+    out: list[list] = []
+    open_, page, blank, glue, body = False, None, False, False, False
+    for row in rows.itertuples(index=False):
+        if row.result_id != page:
+            # Blank lines around a page's running text part no paragraphs.
+            page, blank, body = row.result_id, False, False
+        if row.kind == "blank":
+            blank = body
+            continue
+        if row.kind in ("running_text", "page_number"):
+            continue
+        text = _repaired(row.text, row.fixes).rstrip()
+        indented = len(text) - len(text.lstrip()) >= 2
+        text = " ".join(text.split())
+        ended = not out or re.search(r"[.!?…][\"'”’»)\]]*$", out[-1][4]) is not None
+        if row.kind == "prose" and open_ and not indented and (glue or not blank or not ended):
+            last = out[-1]
+            last[4] += text if glue else " " + text
+        else:
+            out.append([row.own, row.result_id, row.line_no, row.kind, text])
+        open_, glue, body = row.kind == "prose", False, True
+        if open_ and out[-1][4][-1:] in HYPHENS:
+            glue = True
+            if row.broken:
+                out[-1][4] = out[-1][4][:-1]
+        blank = False
+    book = rows["book_id"].iloc[0] if len(rows) else None
+    return pd.DataFrame([(book, *o[1:]) for o in out if o[0]], columns=["book_id", "result_id", "line_no", "kind", "text"])
+
+
+def paragraphs(ocr: DataFrame, pages: DataFrame, regions: DataFrame, terms: DataFrame) -> DataFrame:
+    """(book_id, result_id, line_no, kind, text): headings, table lines and whole paragraphs of the books.
+
+    A row stands at the page and line where it begins. Running text and page
+    numbers are gone, broken words are joined, misread words put right and
+    lines joined, over page ends too. A paragraph begins at an indented line or
+    behind a blank one. One that runs over more than MARGIN pages beyond its
+    stretch is given in two rows.
+    """
     lines = pinned(label_lines(ocr, pages, regions))
     found = tokens(lines)
     words = pinned(vocabulary(found, terms))
     wrong = pinned(misreadings(words))
+    rest = _without_hot(found, words, wrong)
+    fixes = rest.join(wrong, "token").groupBy("result_id", "line_no").agg(F.array_sort(F.collect_set(F.struct("token", "printed"))).alias("fixes"))
+    breaks = line_breaks(lines, words).distinct().withColumn("broken", F.lit(True))
+    rows = lines.join(breaks, ["result_id", "line_no"], "left").join(fixes, ["result_id", "line_no"], "left").withColumn("broken", F.coalesce("broken", F.lit(False)))
+    here = F.floor(F.col("page_no") / CHUNK).cast("int")
+    rows = rows.withColumn("chunk", F.explode(F.array_distinct(F.array(here, F.floor((F.col("page_no") - MARGIN) / CHUNK).cast("int"))))).withColumn("own", F.col("chunk") == here)
+    rows = rows.select("book_id", "chunk", "own", "page_no", "result_id", "line_no", "kind", "text", "broken", "fixes")
+    return rows.groupBy("book_id", "chunk").applyInPandas(_paragraph_group, "book_id long, result_id long, line_no int, kind string, text string")
+
+
+def _without_hot(found: DataFrame, words: DataFrame, wrong: DataFrame) -> DataFrame:
+    """(result_id, line_no, token) of prose, without halves of broken words and without the most frequent good tokens."""
+    # At most HOT_TOKENS words: a fixed bound. What is left of any token is a small share of all rows.
     hot = words.join(wrong.select("token"), "token", "left_anti").orderBy(F.desc("n"), "token").limit(HOT_TOKENS).select("token")
-    # At most HOT_TOKENS words: a fixed bound. A token that is misread is far rarer than what it stands for.
-    rest = found.where("kind = 'prose' and not broken and not (first and broken_before)").select("result_id", "line_no", "token").join(F.broadcast(hot), "token", "left_anti")
-    misread = rest.join(wrong.select("token"), "token", "left_semi").select("result_id", "line_no")
+    rest = found.where("kind = 'prose' and not broken and not (first and broken_before)").select("result_id", "line_no", "token")
+    return rest.join(F.broadcast(hot), "token", "left_anti")
+
+
+def places(ocr: DataFrame, pages: DataFrame, regions: DataFrame, terms: DataFrame) -> DataFrame:
+    """(result_id, line_no, kind): running_text, page_number, hyphen_break and misread lines; distinct."""
+    lines = pinned(label_lines(ocr, pages, regions))
+    found = tokens(lines)
+    words = pinned(vocabulary(found, terms))
+    wrong = pinned(misreadings(words))
+    misread = _without_hot(found, words, wrong).join(wrong.select("token"), "token", "left_semi").select("result_id", "line_no")
     edges = lines.where("kind in ('running_text', 'page_number')").select("result_id", "line_no", "kind")
     out = edges.unionByName(line_breaks(lines, words).withColumn("kind", F.lit("hyphen_break"))).unionByName(misread.withColumn("kind", F.lit("misread")))
     return out.distinct()
