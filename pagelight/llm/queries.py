@@ -134,16 +134,25 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p1_terms, p1_found, p2_found, p2_paragraphs, p3_pieces, p3_found, p4_day_counts, p4_day_percentiles, p4_label_percentiles, p5_sentences, p5_processed, p5_found, p6_found, p7_ids, p8_found, p9_found, p9_composition)}
 
 
+_REGION_SQL = """
+            SELECT DISTINCT region_id, CASE WHEN label IS NULL THEN NULL ELSE
+                regexp_replace(lower(regexp_replace(label, '^[\\s\\x{A0}]+|[\\s\\x{A0}]+$', '', 'g')), '[ -]+', '_', 'g') END AS label,
+                strftime(seen_at, '%Y-%m-%d') AS day, confidence
+            FROM layout_regions WHERE confidence >= 0 AND confidence <= 1 AND NOT isnan(confidence)"""
+
+
+def _day_count_sql() -> str:
+    e = percentiles.RELATIVE_ERROR
+    place = f"CASE WHEN confidence < 1e-12 THEN 0 ELSE CAST(ceil(ln(confidence) / ln({(1 + e) / (1 - e)!r})) AS INTEGER) + {percentiles.SHIFT} END"
+    return f"SELECT label, day, {place} AS bucket, count(*) AS n FROM ({_REGION_SQL}) GROUP BY ALL"
+
+
 def _percentile_sql(groups: str) -> str:
     e = percentiles.RELATIVE_ERROR
     growth = (1 + e) / (1 - e)
     found = ", ".join(f"round(coalesce(min(CASE WHEN upto * 10000 >= alln * {q * 100} THEN place END), 0), 9) AS {percentiles._name(q)}" for q in percentiles.PERCENTILES)
     return f"""
-        WITH regions AS (
-            SELECT DISTINCT region_id, CASE WHEN label IS NULL THEN NULL ELSE
-                regexp_replace(lower(regexp_replace(label, '^[\\s\\x{{A0}}]+|[\\s\\x{{A0}}]+$', '', 'g')), '[ -]+', '_', 'g') END AS label,
-                strftime(seen_at, '%Y-%m-%d') AS day, confidence
-            FROM layout_regions WHERE confidence >= 0 AND confidence <= 1 AND NOT isnan(confidence)),
+        WITH regions AS ({_REGION_SQL}),
         placed AS (
             SELECT {groups}, CASE WHEN confidence < 1e-12 THEN 0.0 ELSE
                 pow({growth!r}, ceil(ln(confidence) / ln({growth!r}))) * {2 / (growth + 1)!r} END AS place, count(*) AS n
@@ -153,9 +162,36 @@ def _percentile_sql(groups: str) -> str:
         SELECT {groups}, CAST(max(alln) AS BIGINT) AS n, {found}, CAST({e} AS DOUBLE) AS rel_error FROM ranked GROUP BY {groups}"""
 
 
+def _term_sql() -> str:
+    """Lower case and the listed forms stand for compatibility forms and case folding, of which the tables hold no others."""
+    wide = "".join(chr(0xFF21 + i) for i in range(26)) + "".join(chr(0xFF41 + i) for i in range(26)) + "".join(chr(0xFF10 + i) for i in range(10)) + "\u3000\u00a0"
+    plain = "abcdefghijklmnopqrstuvwxyz" * 2 + "0123456789" + "  "
+    term = f"translate(lower(raw), '{wide}', '{plain}')"
+    for read, meant in (("ß", "ss"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("½", "1⁄2"), ("…", "...")):
+        term = f"replace({term}, '{read}', '{meant}')"
+    blank = r"[\s\x{1C}-\x{1F}\x{85}\x{0B}]"
+    return f"""
+        WITH items AS (SELECT DISTINCT item_id, text_id, normalized_tokens, item_type FROM dictionary_items),
+        corrections AS (SELECT DISTINCT result_id, token_no, corrected FROM token_corrections),
+        found AS (
+            SELECT 'normalized_tokens' AS field_name, text_id AS record, unnest(normalized_tokens) AS raw FROM items
+            UNION ALL SELECT 'item_type', text_id, item_type FROM items
+            UNION ALL SELECT 'corrected', result_id, corrected FROM corrections),
+        terms AS (SELECT field_name, record, nfc_normalize(regexp_replace({term}, '^{blank}+|{blank}+$', '', 'g')) AS term FROM found WHERE raw IS NOT NULL),
+        good AS (SELECT * FROM terms WHERE term <> ''),
+        held AS (SELECT field_name, count(DISTINCT record) AS held FROM good GROUP BY field_name),
+        counted AS (SELECT field_name, term, count(*) AS n_occurrences, count(DISTINCT record) AS n_records FROM good GROUP BY field_name, term)
+        SELECT c.field_name, c.term, c.n_occurrences, c.n_records,
+            CASE WHEN c.n_records <= 2 THEN 'rare' WHEN c.n_records * 1000 >= 300 * h.held THEN 'common' END AS mark
+        FROM counted c JOIN held h ON h.field_name = c.field_name"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_terms": _term_sql(),
+        "p1_found": f"SELECT field_name, term, mark FROM ({_term_sql()}) WHERE mark IS NOT NULL",
         "p3_found": "SELECT DISTINCT translation_id FROM translation_results WHERE length(source_text) > 5000",
+        "p4_day_counts": _day_count_sql(),
         "p4_day_percentiles": _percentile_sql("label, day"),
         "p4_label_percentiles": _percentile_sql("label"),
     }
