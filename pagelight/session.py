@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -10,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Behind an exchange, a table of less than this for each core is spread again.
+SMALL_BYTES = 4 << 20
 _shipped: set[str] = set()
 
 
@@ -75,4 +78,8 @@ def spread(df: DataFrame) -> DataFrame:
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if re.search(r"^[\s:+-]*(?:Aggregate|Join|Sort|Window|Repartition|Deduplicate|Distinct|Union|Generate)", plan.toString(), re.M):
+        # Counting the partitions behind an exchange would run it; what is estimated to be small is spread.
+        return df.repartition(cores) if int(str(plan.stats().sizeInBytes())) < cores * SMALL_BYTES else df
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
