@@ -44,7 +44,7 @@ _CUES = re.compile(r"^\s*(?:\d+\s*\n\s*)?\d{1,2}:\d\d(?::\d\d)?[,.]\d+\s*-->.*$|
 
 def words_of(text: str) -> list[str]:
     """Case-folded words; mark-up, subtitle cues and breaks at line ends are taken out."""
-    if "\n" in text:
+    if "-\n" in text or "-\r" in text or "- \n" in text or not text.isascii():
         text = _BROKEN.sub("", text)
     if not text.isascii():
         text = _SOFT.sub("", text)
@@ -110,9 +110,21 @@ class ItemBlock:
             known &= part >= 0
         return np.where(known, code, -1)
 
-    def ids_of(self, text: str) -> np.ndarray:
-        found = words_of(text)
-        return np.fromiter(map(self.vocabulary.get, found, repeat(-1)), np.int64, len(found))
+    def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Word ids of the texts in a row, a foreign word behind each; where each one begins, and the end."""
+        words: list[str] = []
+        begin = [0]
+        for text in texts:
+            words += words_of(text)
+            words.append("")
+            begin.append(len(words))
+        return np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words)), np.array(begin)
+
+    def hits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """ids_of the texts; and of each n-gram of a passage in them: its place, its text's number, the gram."""
+        found, begin = self.ids_of(texts)
+        at, gram = self.held(self.codes(found))
+        return found, begin, at, np.searchsorted(begin, at, side="right") - 1, gram
 
     def held(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions whose n-gram is in some passage, and its place among the grams."""
@@ -225,23 +237,28 @@ def _near(found: np.ndarray, at: np.ndarray, reach: int = 40) -> np.ndarray:
     return out[inside | np.append(False, inside[:-1])]
 
 
-def _search(block: ItemBlock, text: str) -> list[tuple[int, float]]:
-    found = block.ids_of(text)
-    at, gram = block.held(block.codes(found))
-    if len(at) < LEAST_SEEDS:
+def _search(block: ItemBlock, texts: list[str]) -> list[tuple[int, int, float]]:
+    """(number of the text, item, share held) of the texts that hold a passage."""
+    found, begin, at, owner, gram = block.hits(texts)
+    if not len(at):
         return []
-    distinct = np.unique(gram)
-    begin, size = block.starts[distinct], np.diff(block.starts)[distinct]
-    place = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-    hits = np.bincount(block.owners[place[block.seeds[place]]], minlength=len(block.ids))
+    size = len(block.grams)
+    pairs = np.unique(owner * size + gram)
+    text, distinct = pairs // size, pairs % size
+    first, many = block.starts[distinct], np.diff(block.starts)[distinct]
+    place = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+    seed = block.seeds[place]
+    items = len(block.ids)
+    hits = np.bincount(np.repeat(text, many)[seed] * items + block.owners[place[seed]], minlength=len(texts) * items).reshape(len(texts), items)
     out = []
-    for item in np.flatnonzero(hits >= block.needed):
+    for number, item in zip(*np.nonzero(hits >= block.needed)):
         passage = block.words[item]
-        codes = block.codes(passage)
-        mine = np.isin(gram, np.searchsorted(block.grams, np.unique(codes)))
-        held = aligned_words(passage, _near(found, at[mine])) / len(passage)
+        low, high = np.searchsorted(owner, [number, number + 1])
+        mine = np.isin(gram[low:high], np.searchsorted(block.grams, np.unique(block.codes(passage))))
+        words = found[begin[number] : begin[number + 1] - 1]
+        held = aligned_words(passage, _near(words, at[low:high][mine] - begin[number])) / len(passage)
         if held >= HELD:
-            out.append((block.ids[item], held))
+            out.append((int(number), block.ids[item], held))
     return out
 
 
@@ -274,9 +291,9 @@ def _find_block(rows: DataFrame, key: str, kind: str, spark, block: ItemBlock) -
         block = shared.value
         total = np.zeros(len(block.grams), np.int64)
         for batch in batches:
-            for x in batch.column(1).to_pylist():
-                _, gram = block.held(block.codes(block.ids_of(x)))
-                total[np.unique(gram)] += 1
+            for low in range(0, batch.num_rows, 256):
+                *_, owner, gram = block.hits(batch.column(1).slice(low, 256).to_pylist())
+                total += np.bincount(np.unique(owner * len(total) + gram) % max(1, len(total)), minlength=len(total))
         at = np.flatnonzero(total)
         if len(at):
             import pyarrow as pa
@@ -296,9 +313,9 @@ def _find_block(rows: DataFrame, key: str, kind: str, spark, block: ItemBlock) -
         block = ready.value
         for batch in batches:
             row, item, held = [], [], []
-            for i, x in enumerate(batch.column(1).to_pylist()):
-                for a, b in _search(block, x):
-                    row.append(i)
+            for low in range(0, batch.num_rows, 256):
+                for number, a, b in _search(block, batch.column(1).slice(low, 256).to_pylist()):
+                    row.append(low + number)
                     item.append(a)
                     held.append(b)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(item, pa.int64()), pa.array(held, pa.float64())], [key, "eval_id", "held"])
