@@ -1,8 +1,8 @@
 """Evaluation passages inside training texts.
 
-Method: the rarest word n-grams of each test passage, by their frequency over
-the whole corpus, are the seeds that lead from a document to candidate items;
-a Smith-Waterman alignment of document and passage then scores what the
+Method: the rarest word n-grams of each stretch of a test passage, by their
+frequency over the whole corpus, are the seeds that lead from a document to
+candidate items; a Smith-Waterman alignment of document and passage then scores what the
 document holds. A jump of any length costs the same, so that a passage copied
 in a few pieces is one alignment.
 
@@ -28,6 +28,8 @@ from pagelight.session import spread
 
 #: Words of a seed; test items of one block; share of an item's n-grams that are seeds.
 GRAM, BLOCK, SEEDS = 3, 2_000, 0.5
+#: Seeds are the rarest of this many n-grams in a row.
+STRETCH = 4
 #: A candidate has this share of an item's seeds, and this many at least.
 SEED_SHARE, LEAST_SEEDS = 0.12, 3
 #: Share of the passage's words that a document must hold.
@@ -154,21 +156,26 @@ def item_block(rows: list) -> ItemBlock:
 
 
 def choose_seeds(block: ItemBlock, frequency: np.ndarray) -> None:
-    """Marks each item's rarest n-grams: the SEEDS share of lowest corpus frequency.
+    """Gives each item's seeds their weights: of every STRETCH of positions the SEEDS share of lowest corpus frequency.
 
     The choice is by rank and not by a limit, so that an item whose passage is
-    copied into a third of the corpus keeps its seeds.
+    copied into a third of the corpus keeps its seeds. N-grams that no document
+    holds are no seeds, and each stretch is ranked by itself: whatever part of a
+    passage is copied, and however often, its whole stretches have their seeds.
+    A seed that is chosen several times counts as often.
     """
-    grams = np.repeat(np.arange(len(block.grams)), np.diff(block.starts))
-    order = np.lexsort((grams, frequency[grams], block.owners))
-    owners = block.owners[order]
-    begin = np.searchsorted(owners, np.arange(len(block.ids)))
-    count = np.bincount(owners, minlength=len(block.ids))
-    rank = np.arange(len(order)) - begin[owners]
-    chosen = rank < np.ceil(count[owners] * SEEDS)
-    block.seeds = np.zeros(len(grams), bool)
-    block.seeds[order] = chosen
-    seeds = np.bincount(block.owners[block.seeds], minlength=len(block.ids))
+    items, some = len(block.ids), round(STRETCH * SEEDS)
+    keys = np.repeat(np.arange(len(block.grams)), np.diff(block.starts)) * items + block.owners
+    absent = np.iinfo(np.int64).max
+    block.seeds = np.zeros(len(keys), np.int64)
+    for item, words in enumerate(block.words):
+        gram = np.searchsorted(block.grams, block.codes(words))
+        counts = np.full(-(-len(gram) // STRETCH) * STRETCH, absent)
+        counts[: len(gram)] = np.where(frequency[gram] > 0, frequency[gram], absent)
+        pick = (np.arange(0, len(counts), STRETCH)[:, None] + counts.reshape(-1, STRETCH).argsort(axis=1, kind="stable")[:, :some]).ravel()
+        pick = pick[counts[pick] < absent]
+        np.add.at(block.seeds, np.searchsorted(keys, gram[pick] * items + item), 1)
+    seeds = np.bincount(block.owners, weights=block.seeds, minlength=items)
     block.needed = np.minimum(np.maximum(LEAST_SEEDS, np.ceil(seeds * SEED_SHARE)), np.maximum(seeds, 1)).astype(np.int64)
 
 
@@ -247,9 +254,10 @@ def _search(block: ItemBlock, texts: list[str]) -> list[tuple[int, int, float]]:
     text, distinct = pairs // size, pairs % size
     first, many = block.starts[distinct], np.diff(block.starts)[distinct]
     place = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-    seed = block.seeds[place]
+    weight = block.seeds[place]
+    seed = weight > 0
     items = len(block.ids)
-    hits = np.bincount(np.repeat(text, many)[seed] * items + block.owners[place[seed]], minlength=len(texts) * items).reshape(len(texts), items)
+    hits = np.bincount(np.repeat(text, many)[seed] * items + block.owners[place[seed]], weights=weight[seed], minlength=len(texts) * items).reshape(len(texts), items)
     out = []
     for number, item in zip(*np.nonzero(hits >= block.needed)):
         passage = block.words[item]

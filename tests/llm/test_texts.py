@@ -159,6 +159,17 @@ def test_leaks(spark):
     assert {r.eval_id: r.passage.strip() for r in leakage.passages(asked).collect()}[1] == PASSAGE
 
 
+@pytest.mark.parametrize("others", [[PASSAGE], []])
+@pytest.mark.parametrize("part", [slice(0, 0.56), slice(0.44, 1), slice(0.22, 0.78)])
+def test_leaks_of_one_part(spark, part, others):
+    words = leakage.words_of(PASSAGE + " " + OTHER)
+    half = " ".join(words[int(part.start * len(words)) : int(part.stop * len(words))])
+    rows = [*(x + " " + OTHER for x in others), *[f"number {i} then {half} and number {i}" for i in range(20)], "of no passage"]
+    documents = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, "e", PASSAGE + " " + OTHER)], "eval_id long, eval_name string, text string")
+    assert sorted(r.doc_id for r in leakage.find_leaks(documents, items).collect()) == list(range(len(rows) - 1))
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(1, PASSAGE), (2, OTHER)], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a", PASSAGE), (2, "b", OTHER), (3, "c", "one two three four five six seven")], "eval_id long, eval_name string, text string")
