@@ -9,7 +9,7 @@ of shapes, from a word that is far more frequent.
 
 Skew: a book may hold a third of all pages, so pages are grouped by stretches of
 CHUNK pages of a book, with MARGIN pages of the neighbouring stretches; no group
-is larger. Token joins leave the most frequent tokens out beforehand.
+is larger. Of paragraphs only the first and last piece of each stretch meet. Token joins leave the most frequent tokens out beforehand.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import re
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelight.session import pinned
@@ -445,10 +445,19 @@ def _repaired(text: str, fixes) -> str:
     return text
 
 
+_PIECES = "book_id long, chunk int, piece int, edge boolean, joins boolean, glue boolean, result_id long, line_no int, kind string, text string"
+
+
 def _paragraph_group(rows: pd.DataFrame) -> pd.DataFrame:
+    """Headings, table lines and paragraphs of a stretch of a book.
+
+    edge: the first and the last one, which may be parts of longer ones; joins:
+    it goes on with what is before the stretch if that is prose; glue: its last
+    word goes on.
+    """
     rows = rows.sort_values(["page_no", "result_id", "line_no"])
     out: list[list] = []
-    open_, page, blank, glue, body = False, None, False, False, False
+    open_, page, blank, glue, body, joins = False, None, False, False, False, False
     for row in rows.itertuples(index=False):
         if row.result_id != page:
             # Blank lines around a page's running text part no paragraphs.
@@ -461,20 +470,25 @@ def _paragraph_group(rows: pd.DataFrame) -> pd.DataFrame:
         text = _repaired(row.text, row.fixes).rstrip()
         indented = len(text) - len(text.lstrip()) >= 2
         text = " ".join(text.split())
-        ended = not out or re.search(r"[.!?…][\"'”’»)\]]*$", out[-1][4]) is not None
+        ended = not out or re.search(r"[.!?…][\"'”’»)\]]*$", out[-1][3]) is not None
+        if not out:
+            # No blank line of its own page is before the first one.
+            joins = row.kind == "prose" and not indented
         if row.kind == "prose" and open_ and not indented and (glue or not blank or not ended):
             last = out[-1]
-            last[4] += text if glue else " " + text
+            last[3] += text if glue else " " + text
         else:
-            out.append([row.own, row.result_id, row.line_no, row.kind, text])
+            out.append([row.result_id, row.line_no, row.kind, text])
         open_, glue, body = row.kind == "prose", False, True
-        if open_ and out[-1][4][-1:] in HYPHENS:
+        if open_ and out[-1][3][-1:] in HYPHENS:
             glue = True
             if row.broken:
-                out[-1][4] = out[-1][4][:-1]
+                out[-1][3] = out[-1][3][:-1]
         blank = False
-    book = rows["book_id"].iloc[0] if len(rows) else None
-    return pd.DataFrame([(book, *o[1:]) for o in out if o[0]], columns=["book_id", "result_id", "line_no", "kind", "text"])
+    last = len(out) - 1
+    key = rows[["book_id", "chunk"]].iloc[0].tolist() if len(rows) else ()
+    found = [(*key, i, i in (0, last), joins and i == 0, glue and i == last, *o) for i, o in enumerate(out)]
+    return pd.DataFrame(found, columns=[x.split()[0] for x in _PIECES.split(", ")])
 
 
 def paragraphs(ocr: DataFrame, pages: DataFrame, regions: DataFrame, terms: DataFrame) -> DataFrame:
@@ -483,8 +497,7 @@ def paragraphs(ocr: DataFrame, pages: DataFrame, regions: DataFrame, terms: Data
     A row stands at the page and line where it begins. Running text and page
     numbers are gone, broken words are joined, misread words put right and
     lines joined, over page ends too. A paragraph begins at an indented line or
-    behind a blank one. One that runs over more than MARGIN pages beyond its
-    stretch is given in two rows.
+    behind a blank one. It is one row, over however many pages it runs.
     """
     lines = pinned(label_lines(ocr, pages, regions))
     found = tokens(lines)
@@ -494,10 +507,18 @@ def paragraphs(ocr: DataFrame, pages: DataFrame, regions: DataFrame, terms: Data
     fixes = rest.join(wrong, "token").groupBy("result_id", "line_no").agg(F.array_sort(F.collect_set(F.struct("token", "printed"))).alias("fixes"))
     breaks = line_breaks(lines, words).distinct().withColumn("broken", F.lit(True))
     rows = lines.join(breaks, ["result_id", "line_no"], "left").join(fixes, ["result_id", "line_no"], "left").withColumn("broken", F.coalesce("broken", F.lit(False)))
-    here = F.floor(F.col("page_no") / CHUNK).cast("int")
-    rows = rows.withColumn("chunk", F.explode(F.array_distinct(F.array(here, F.floor((F.col("page_no") - MARGIN) / CHUNK).cast("int"))))).withColumn("own", F.col("chunk") == here)
-    rows = rows.select("book_id", "chunk", "own", "page_no", "result_id", "line_no", "kind", "text", "broken", "fixes")
-    return rows.groupBy("book_id", "chunk").applyInPandas(_paragraph_group, "book_id long, result_id long, line_no int, kind string, text string")
+    rows = rows.withColumn("chunk", F.floor(F.col("page_no") / CHUNK).cast("int"))
+    rows = rows.select("book_id", "chunk", "page_no", "result_id", "line_no", "kind", "text", "broken", "fixes")
+    pieces = pinned(rows.groupBy("book_id", "chunk").applyInPandas(_paragraph_group, _PIECES))
+    # Two pieces at most of each stretch: the first goes on with the last one before it in the book.
+    order = Window.partitionBy("book_id").orderBy("chunk", "piece")
+    edges = pieces.where("edge").withColumn("opens", ~(F.col("joins") & F.coalesce(F.lag("kind").over(order) == "prose", F.lit(False))))
+    edges = edges.withColumn("number", F.sum(F.col("opens").cast("long")).over(order))
+    parts = edges.groupBy("book_id", "number").agg(F.array_sort(F.collect_list(F.struct("chunk", "piece", "result_id", "line_no", "kind", "text", "glue"))).alias("parts"))
+    text = F.array_join(F.transform("parts", lambda p, i: F.concat(p["text"], F.when(p["glue"] | (i == F.size("parts") - 1), "").otherwise(" "))), "")
+    first = F.col("parts")[0]
+    joined = parts.select("book_id", first["result_id"].alias("result_id"), first["line_no"].alias("line_no"), first["kind"].alias("kind"), text.alias("text"))
+    return pieces.where("not edge").select(joined.columns).unionByName(joined)
 
 
 def _without_hot(found: DataFrame, words: DataFrame, wrong: DataFrame) -> DataFrame:
