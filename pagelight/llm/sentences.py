@@ -201,13 +201,6 @@ def _segment_block(text: str, low: int, high: int) -> list[int]:
         return [high]
     places = sorted(found)
     marks = _quote_marks(text[low:high]) if _QUOTES.search(text, low, high) else []
-    if not marks:
-        ends, begin = [], low
-        for at in places:
-            if found[at] > 0 and any(c.isalnum() for c in text[begin:at]):
-                ends.append(at)
-                begin = at
-        return [*ends, high]
     # Net quotation marks before each node.
     nodes = [low, *places, high]
     net, running, k = [], [0] * 7, 0

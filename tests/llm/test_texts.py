@@ -33,6 +33,14 @@ def test_sentence_layout():
     assert len(sentences.sentences("“" * 50 + "Ab cd. " * 2000)) > 1000
 
 
+def test_blocks_without_quotation_are_scored_alike():
+    for tail in ("", " (So it was)"):
+        text = "42! Then we left." + tail
+        assert [text[a:b] for a, b in sentences.sentences(text)][0] == "42! Then we left."
+    text = "The old boat is red. The new boat is not. It is 3 p.m. now"
+    assert len(sentences.sentences(text)) == 3
+
+
 def test_sentences_of_rows(spark):
     df = spark.createDataFrame([(1, "Ab. Cd."), (2, None), (3, ""), (1, "Ab. Cd.")], "id long, text string")
     out = sentences.split_sentences(df, "id", "text").collect()
