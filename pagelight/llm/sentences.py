@@ -43,7 +43,9 @@ _WORD = re.compile(r"[^\W_]+")
 _NUMBERED = re.compile(r"\d{1,3}[.)]\s+[^\W\d_a-z]")
 _SPEECH = re.compile("[说問问道喊答叫]")
 
-UNBALANCED, EMPTY, LOOK_BACK = -6.0, -9.0, 40
+UNBALANCED, EMPTY = -6.0, -9.0
+#: Usual length of a sentence; candidates that are left out together where none can be the best predecessor.
+USUAL, RUN = 60, 64
 
 
 def _quote_marks(text: str) -> list[tuple[int, int, int]]:
@@ -211,18 +213,42 @@ def _segment_block(text: str, low: int, high: int) -> list[int]:
         net.append(tuple(running))
     n = len(nodes)
     best, back = [0.0] + [-math.inf] * (n - 1), [0] * n
+    # The best score of each run of RUN nodes and of all nodes up to its end.
+    tops, highest = [-math.inf] * (n // RUN + 1), [-math.inf] * (n // RUN + 1)
+    tops[0] = highest[0] = 0.0
+    # The states of the quotation marks in each run, and in all.
+    seen = {net[0]}
+    states: list[set] = [set() for _ in tops]
+    states[0].add(net[0])
     for j in range(1, n):
         closing = found.get(nodes[j], 0.0)
-        for i in range(j - 1, max(-1, j - LOOK_BACK), -1):
+        i = j - 1
+        while i >= 0:
+            if i % RUN == RUN - 1 or i == j - 1:
+                # No node of the run, or none before either, can do better: a longer span beyond USUAL costs
+                # more, another state of the quotation marks is one more loss at least, the rest is no gain.
+                run = i // RUN
+                cost = 0.08 * math.log(max(USUAL, nodes[j] - nodes[i]) / USUAL) ** 2
+                if highest[run] + closing + (0.0 if net[j] in seen else UNBALANCED) - cost <= best[j]:
+                    break
+                if tops[run] + closing + (0.0 if net[j] in states[run] else UNBALANCED) - cost <= best[j]:
+                    i = run * RUN - 1
+                    continue
             score = best[i] + closing
             if net[i] != net[j]:
                 score += UNBALANCED * sum(1 for a, b in zip(net[i], net[j]) if a != b)
             size = nodes[j] - nodes[i]
-            score -= 0.08 * math.log(size / 60) ** 2
+            score -= 0.08 * math.log(size / USUAL) ** 2
             if size < 12 and not any(c.isalpha() for c in text[nodes[i] : nodes[j]]):
                 score += EMPTY
             if score > best[j]:
                 best[j], back[j] = score, i
+            i -= 1
+        run = j // RUN
+        seen.add(net[j])
+        states[run].add(net[j])
+        tops[run] = max(tops[run], best[j])
+        highest[run] = max(tops[run], highest[run - 1] if run else tops[run])
     ends, j = [], n - 1
     while j:
         ends.append(nodes[j])

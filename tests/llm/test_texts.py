@@ -41,6 +41,16 @@ def test_blocks_without_quotation_are_scored_alike():
     assert len(sentences.sentences(text)) == 3
 
 
+def test_long_quotations_stay_whole():
+    text = "He said: “" + "See p. 3 and no. 4 here, etc. and so on. " * 30 + "It is so.” Then he left."
+    cuts = sentences.sentences(text)
+    assert [text[a:b] for a, b in cuts][-1] == "Then he left."
+    # Long, with no mark at which a sentence ends.
+    text = "(" + "z. B. ca. 3 m, " * 60 + "so) it is. We left."
+    assert [text[a:b] for a, b in sentences.sentences(text)] == [text[:-9], "We left."]
+    assert len(sentences.sentences("z. B. vgl. " * 4000)) == 1
+
+
 def test_sentences_of_rows(spark):
     df = spark.createDataFrame([(1, "Ab. Cd."), (2, None), (3, ""), (1, "Ab. Cd.")], "id long, text string")
     out = sentences.split_sentences(df, "id", "text").collect()
