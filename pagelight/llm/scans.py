@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from pagelight.session import pinned
 
 CHUNK, MARGIN = 32, 4
+#: Longer join keys are digests; rows that a pass over tokens gives at once.
+LONG, ROWS = 40, 10_000
 #: Lines at either edge that may be running text or a page number.
 EDGE = 3
 #: Share of common letter triples from which two edge lines repeat each other.
@@ -343,15 +346,18 @@ def vocabulary(words: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def _keys(parts):
-    """Join keys of a token: itself and, with one character left out, each shorter form."""
+    """Join keys of a token: itself and, with one character left out, each shorter form; a digest for long forms."""
     for part in parts:
         token, key = [], []
         for word in part["token"]:
-            if len(word) <= 40:
-                for k in {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}:
-                    token.append(word)
-                    key.append(k)
-        yield pd.DataFrame({"token": token, "key": key})
+            for k in (word, *(word[:i] + word[i + 1 :] for i in range(len(word)) if not i or word[i] != word[i - 1])):
+                token.append(word)
+                key.append(k if len(k) <= LONG else blake2b(k.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest())
+                if len(key) >= ROWS:
+                    yield pd.DataFrame({"token": token, "key": key})
+                    token, key = [], []
+        if token:
+            yield pd.DataFrame({"token": token, "key": key})
 
 
 def _shapes(parts):
@@ -359,16 +365,17 @@ def _shapes(parts):
     for part in parts:
         token, printed = [], []
         for word in part["token"]:
-            if len(word) <= 40:
-                found = set()
-                for read, meant in CONFUSED:
-                    at = word.find(read)
-                    while at >= 0:
-                        found.add(word[:at] + meant + word[at + len(read) :])
-                        at = word.find(read, at + 1)
-                token += [word] * len(found)
-                printed += found
-        yield pd.DataFrame({"token": token, "printed": printed})
+            for read, meant in CONFUSED:
+                at = word.find(read)
+                while at >= 0:
+                    token.append(word)
+                    printed.append(word[:at] + meant + word[at + len(read) :])
+                    at = word.find(read, at + 1)
+                    if len(token) >= ROWS:
+                        yield pd.DataFrame({"token": token, "printed": printed})
+                        token, printed = [], []
+        if token:
+            yield pd.DataFrame({"token": token, "printed": printed})
 
 
 def misreadings(words: DataFrame, ratio: int = RATIO) -> DataFrame:

@@ -167,6 +167,13 @@ def test_paragraphs_over_stretches(spark, book):
     assert [(r.result_id, r.line_no) for r in rows] == [(1, 0)] + [(p, 1) for p in range(1, 81) if not 40 <= p < 70]
 
 
+def test_long_words_are_misread_too(spark):
+    for good in ("donau" * 8 + "kapitän", "q" * 4 + "donau" * 7 + "z"):
+        bad = [good.replace("a", "e", 1), good[1:], good + "x", good.replace("n", "h", 1)]
+        words = spark.createDataFrame([("the", 900, 0, True), ("thc", 1, 0, False), (good, 900, 0, True), *((x, 1, 0, False) for x in bad)], "token string, n long, named long, listed boolean")
+        assert {(r.token, r.printed) for r in scans.misreadings(words).collect()} == {("thc", "the"), *((x, good) for x in bad)}
+
+
 def test_no_pages(spark, book):
     ocr, pages, regions, terms = book
     assert scans.places(ocr.limit(0), pages, regions, terms).count() == 0
