@@ -57,6 +57,16 @@ def test_sentences_of_rows(spark):
     assert sorted((r.id, r.sentence_no, r.end_char, r.sentence) for r in out) == [(1, 0, 3, "Ab."), (1, 0, 3, "Ab."), (1, 1, 7, "Cd."), (1, 1, 7, "Cd.")]
 
 
+def test_fit_takes_whole_texts():
+    import pandas as pd
+
+    frame = pd.DataFrame({"prompt": ["ab " * 900 + "zq"], "response": ["ab " * 900 + "4; zq"]})
+    out = pd.concat(pairs._count([frame]))
+    assert out[out["kind"] == "inside"]["n"].sum() == 901 * 3 - 1
+    kept = set(out[out["kind"] == "prompt"]["bucket"])
+    assert set(pairs.grams("zq")) <= kept
+
+
 GOOD = [("The old boat is red.", "Con thuyền cũ thì đỏ."), ("Our teacher sold the house yesterday.", "Cô giáo đã bán ngôi nhà hôm qua."), ("Who found the new map?", "Ai đã tìm thấy tấm bản đồ mới?")]
 
 
