@@ -8,15 +8,12 @@ from pagelight.functions.distance import osa, osa_distance
 from pagelight.operators import correction, vocabulary
 
 TEXTS = [
-    "I havc a problcm with this machinc.",
-    "We wlth need to check the systcm again.",
-    "This applicatlon can translate English subtitles.",
-    "OpenAI uses PaddleOCR in this example.",
-    "I am form Vietnam.",
-    "CPU and GPU are both supported.",
-    "end\nTitle don't well-known",
+    "A grccn lantcrn hung ovcr the harbcur.",
+    "They wcre late; McGrath's old-fashioned CLOCK stopped.",
+    "Near Dover, eBay sellers met.",
+    "fine\nTitle here",
 ]
-FREQUENCIES = {"have": 100, "hive": 60, "problem": 90, "with": 500, "this": 400, "machine": 80, "system": 70, "application": 30, "the": 900, "form": 20, "from": 300, "we": 50, "need": 40}
+FREQUENCIES = {"green": 100, "lantern": 60, "hung": 50, "over": 500, "oven": 90, "the": 900, "they": 200, "harbour": 40, "were": 300, "where": 100, "late": 80, "stopped": 30, "near": 70, "met": 50, "fine": 20, "here": 90}
 
 
 @pytest.fixture(scope="module")
@@ -31,28 +28,32 @@ def corrected(spark, words, texts):
 
 def test_reasons(spark, words):
     _, out = corrected(spark, words, TEXTS)
-    assert out[0, "I"].reason == "token_too_short"
-    assert out[0, "problcm"].corrected == "problem"
-    assert out[0, "machinc"].corrected == "machine"
-    assert out[1, "wlth"].corrected == "with"
-    assert out[2, "English"].reason == "token_may_be_proper_name"
-    assert out[2, "applicatlon"].corrected == "application"
-    assert out[3, "OpenAI"].reason == "token_has_mixed_case"
-    assert out[4, "form"].reason == "token_exists_in_dictionary"
-    assert out[5, "CPU"].reason == "token_is_acronym"
-    assert out[6, "Title"].reason == "token_may_be_proper_name"
-    assert out[6, "don't"].reason == "token_contains_apostrophe"
-    assert out[6, "well-known"].reason == "token_contains_hyphen"
+    assert out[0, "A"].reason == "token_too_short"
+    assert out[0, "lantcrn"].corrected == "lantern" and out[0, "lantcrn"].distance == 1
+    assert out[0, "grccn"].corrected == "green" and out[0, "grccn"].distance == 2
+    assert out[0, "harbcur"].corrected == "harbour"
+    assert out[0, "the"].reason == "token_exists_in_dictionary"
+    assert out[1, "wcre"].corrected == "were"
+    assert out[1, "McGrath's"].reason == "token_contains_apostrophe"
+    assert out[1, "old-fashioned"].reason == "token_contains_hyphen"
+    assert out[1, "CLOCK"].reason == "token_is_acronym"
+    assert out[2, "Near"].reason == "token_exists_in_dictionary"
+    assert out[2, "Dover"].reason == "token_may_be_proper_name"
+    assert out[2, "eBay"].reason == "token_has_mixed_case"
+    assert out[2, "sellers"].reason == "no_candidate_found"
+    assert out[3, "Title"].reason == "token_may_be_proper_name"
 
 
 def test_texts_are_rebuilt(spark, words):
-    texts = [*TEXTS, "", None, "no change", "hte hte", "Problcm. PROBLCM"]
+    texts = [*TEXTS, "", None, "no change", "hte hte", "Lantcrn. LANTCRN"]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     out = {r.id: r.corrected_text for r in correction.correct_texts(df, "id", "text", words).collect()}
-    assert out[0] == "I have a problem with this machine."[:2] + out[0][2:6] + " a problem with this machine."
-    assert out[7] == "" and out[8] is None and out[9] == "no change"
-    assert out[10] == "the the"
-    assert out[11] == "Problem. PROBLCM"
+    assert out[0] == "A green lantern hung over the harbour."
+    assert out[1] == "They were late; McGrath's old-fashioned CLOCK stopped."
+    assert out[2] == TEXTS[2] and out[3] == TEXTS[3]
+    assert out[4] == "" and out[5] is None and out[6] == "no change"
+    assert out[7] == "the the"
+    assert out[8] == "Lantern. LANTCRN"
 
 
 def test_short_tokens_need_a_clear_winner(spark):
@@ -61,12 +62,12 @@ def test_short_tokens_need_a_clear_winner(spark):
         row = correction.correct_tokens(spark.createDataFrame([(token,)], "token string"), table).first()
         return row.corrected, row.reason
 
-    assert outcome({"have": 100, "hive": 60}, "hxve") == ("hxve", "candidate_is_ambiguous")
-    assert outcome({"have": 100, "hive": 50}, "hxve") == ("have", "non_word_corrected")
-    assert outcome({"have": 100}, "hxve") == ("have", "non_word_corrected")
-    assert outcome({"planet": 5, "planes": 9}, "planex") == ("planes", "non_word_corrected")
-    assert outcome({"planes": 9, "planet": 9}, "planex") == ("planes", "non_word_corrected")
-    assert outcome({"have": 1}, "zzzzz") == ("zzzzz", "no_candidate_found")
+    assert outcome({"boat": 100, "beat": 60}, "bxat") == ("bxat", "candidate_is_ambiguous")
+    assert outcome({"boat": 100, "beat": 50}, "bxat") == ("boat", "non_word_corrected")
+    assert outcome({"boat": 100}, "bxat") == ("boat", "non_word_corrected")
+    assert outcome({"ladlet": 5, "ladles": 9}, "ladlex") == ("ladles", "non_word_corrected")
+    assert outcome({"ladles": 9, "ladlet": 9}, "ladlex") == ("ladles", "non_word_corrected")
+    assert outcome({"boat": 1}, "zzzzz") == ("zzzzz", "no_candidate_found")
 
 
 def test_suggestions_equal_brute_force(spark):

@@ -3,25 +3,35 @@ import pytest
 from pagelight.config import TranslationSettings
 from pagelight.operators import joins, lexicon, phrases, tokens, translation
 
-WORDS = "she=cô ấy,he=anh ấy,the=cái,decide=quyết định,give=đưa,after=sau,several=một vài,difficult=khó khăn,day=ngày,study=học,machine=máy,learning=việc học,and=và,look=nhìn,new=mới,word=từ,every=mỗi,plane=máy bay,take=lấy,off=tắt,while=trong khi,child=đứa trẻ,be=là,run=chạy,to=để,up=lên"
-PHRASES = "decide to=quyết định,give up=từ bỏ,machine learning=học máy,look up=tra cứu,every day=mỗi ngày,take off=cất cánh"
-LEMMAS = "decided=decide,studies=study,looks=look,took=take,children=child,running=run,days=day,words=word,planes=plane,were=be,machines=machine"
+WORDS = [
+    ("sailor", "thủy thủ"),
+    ("mend", "vá"),
+    ("net", "lưới"),
+    ("storm", "cơn bão"),
+    ("before", "trước"),
+    ("old", "già"),
+    ("bring", "mang"),
+    ("in", "trong"),
+    ("goose", "con ngỗng"),
+    ("our", "của chúng tôi"),
+    ("set", "đặt"),
+    ("sail", "cánh buồm"),
+    ("fish", "cá"),
+]
+PHRASES = [("set sail", "ra khơi"), ("bring in", "kéo vào"), ("fishing net", "lưới đánh cá")]
+LEMMAS = [("sailors", "sailor"), ("mended", "mend"), ("nets", "net"), ("brought", "bring"), ("geese", "goose"), ("storms", "storm"), ("sets", "set")]
 SENTENCES = {
-    "She decided to give up after several difficult days.": "cô ấy quyết định từ bỏ sau một vài khó khăn ngày",
-    "He studies machine learning and looks up new words every day.": "anh ấy học học máy và tra cứu mới từ mỗi ngày",
-    "The planes took off while the children were running.": "cái máy bay cất cánh trong khi cái đứa trẻ là chạy",
+    "Old sailors mended 3 fishing nets before our storms.": "già thủy thủ vá 3 lưới đánh cá trước của chúng tôi cơn bão",
+    "Sets sail, brought in geese; brought nets in Qarth.": "ra khơi kéo vào con ngỗng mang lưới trong Qarth",
+    "The harbour fish": "The harbour cá",
 }
 
 
-def pairs(text):
-    return [tuple(x.split("=")) for x in text.split(",")]
-
-
 @pytest.fixture(scope="module")
 def tables(spark):
-    lemmas = spark.createDataFrame(pairs(LEMMAS), "form string, lemma string")
-    words = spark.createDataFrame([(i, a, [b], False) for i, (a, b) in enumerate(pairs(WORDS))], "ord long, word string, translations array<string>, replace boolean")
-    many = spark.createDataFrame([(i, a, [b], False) for i, (a, b) in enumerate(pairs(PHRASES))], "ord long, phrase string, translations array<string>, replace boolean")
+    lemmas = spark.createDataFrame(LEMMAS, "form string, lemma string")
+    words = spark.createDataFrame([(i, a, [b], False) for i, (a, b) in enumerate(WORDS)], "ord long, word string, translations array<string>, replace boolean")
+    many = spark.createDataFrame([(i, a, [b], False) for i, (a, b) in enumerate(PHRASES)], "ord long, phrase string, translations array<string>, replace boolean")
     return lexicon.word_lexicon(words, lemmas=lemmas).cache(), lexicon.phrase_lexicon(many, lemmas=lemmas).cache(), lemmas
 
 
@@ -36,25 +46,27 @@ def test_sentences(spark, tables, monkeypatch, joined):
     out = {r.id: r.literal_translation for r in translation.literal_translation(items, "id").collect()}
     assert [out[i] for i in range(3)] == list(SENTENCES.values())
     spans = [(r.item_type[0], r.start_token_index, r.end_token_index, r.start_char, r.end_char) for r in items.where("id = 1").orderBy("start_token_index").collect()]
-    assert spans == [("w", 0, 1, 0, 2), ("w", 1, 2, 3, 10), ("p", 2, 4, 11, 27), ("w", 4, 5, 28, 31), ("p", 5, 7, 32, 40), ("w", 7, 8, 41, 44), ("w", 8, 9, 45, 50), ("p", 9, 11, 51, 60)]
+    assert spans == [("p", 0, 2, 0, 9), ("p", 2, 4, 11, 21), ("w", 4, 5, 22, 27), ("w", 5, 6, 29, 36), ("w", 6, 7, 37, 41), ("w", 7, 8, 42, 44), ("u", 8, 9, 45, 50)]
+    first = items.where("id = 0 and item_type = 'phrase'").first()
+    assert (first.source_text, first.normalized_tokens, first.translations) == ("fishing nets", ["fishing", "net"], ["lưới đánh cá"])
     items.unpersist()
 
 
 def test_upsert(spark):
-    rows = [(1, "Run", ["chạy"], False), (2, "run", [" vận hành ", "chạy", "", None], False), (5, "two words", ["x"], False), (6, "42", ["x"], False), (7, "none", [" "], False), (8, None, ["x"], None)]
+    rows = [(1, "Sail", ["buồm"], False), (2, "sail", [" chèo ", "buồm", "", None], False), (5, "two words", ["x"], False), (6, "42", ["x"], False), (7, "none", [" "], False), (8, None, ["x"], None)]
     schema = "ord long, word string, translations array<string>, replace boolean"
     first = lexicon.word_lexicon(spark.createDataFrame(rows, schema)).collect()
-    assert [(r.normalized, r.word, r.translations) for r in first] == [("run", "Run", ["chạy", "vận hành"])]
-    more = rows + [(3, "RUN", ["điều hành"], True), (4, "run", ["chạy"], False)]
+    assert [(r.normalized, r.word, r.translations) for r in first] == [("sail", "Sail", ["buồm", "chèo"])]
+    more = rows + [(3, "SAIL", ["lướt"], True), (4, "sail", ["buồm"], False)]
     after = lexicon.word_lexicon(spark.createDataFrame(more, schema)).collect()
-    assert [(r.word, r.translations) for r in after] == [("RUN", ["điều hành", "chạy"])]
+    assert [(r.word, r.translations) for r in after] == [("SAIL", ["lướt", "buồm"])]
     keyed = lexicon.word_errors(lexicon.keyed_entries(spark.createDataFrame(rows, schema), "word"), "word")
     assert {r.ord: r.error for r in keyed.collect()} == {1: None, 2: None, 5: "not_one_word", 6: "not_one_word", 7: "no_translation", 8: "empty_word"}
 
 
 def test_longest_and_shortest(spark):
-    df = spark.createDataFrame([(1, "I live in New York City"), (2, "give. Up"), (3, ""), (4, None)], "id long, text string")
-    many = spark.createDataFrame([(["new", "york"], ["a"]), (["new", "york", "city"], ["b"]), (["give", "up"], ["c"])], "normalized_tokens array<string>, translations array<string>")
+    df = spark.createDataFrame([(1, "we sat by Cold Iron Bridge"), (2, "bring. In"), (3, ""), (4, None)], "id long, text string")
+    many = spark.createDataFrame([(["cold", "iron"], ["a"]), (["cold", "iron", "bridge"], ["b"]), (["bring", "in"], ["c"])], "normalized_tokens array<string>, translations array<string>")
     token_rows = tokens.normalized_tokens(df, "id", "text")
     long = phrases.find_phrases(token_rows, many, "id").collect()
     assert sorted((r.id, r.start_idx, r.end_idx) for r in long) == [(1, 3, 6), (2, 0, 2)]
@@ -62,16 +74,16 @@ def test_longest_and_shortest(spark):
     assert sorted((r.id, r.start_idx, r.end_idx) for r in short) == [(1, 3, 5), (2, 0, 2)]
     assert phrases.find_phrases(token_rows, many.limit(0), "id").count() == 0
     table = translation.PhraseTable(many.collect(), TranslationSettings())
-    assert [s[:2] for s in table.spans(["i", "new", "york", "city", "new", "york"])] == [(1, 4), (4, 6)]
+    assert [s[:2] for s in table.spans(["a", "cold", "iron", "bridge", "cold", "iron"])] == [(1, 4), (4, 6)]
 
 
 def test_single_words(spark, tables):
     words = tables[0]
-    df = spark.createDataFrame([(1, "word"), (2, "12"), (3, "two words"), (4, " word"), (5, "zzz"), (6, None)], "id long, text string")
+    df = spark.createDataFrame([(1, "storm"), (2, "12"), (3, "two words"), (4, " storm"), (5, "zzz"), (6, None)], "id long, text string")
     out = {r.id: (r.item_type, r.error) for r in translation.translate_words(df, "id", "text", words).collect()}
     assert out == {1: ("word", None), 2: ("number", None), 3: (None, "not_one_token"), 4: (None, "not_one_token"), 5: ("unknown", None), 6: (None, "not_one_token")}
-    found = lexicon.contains_words(spark.createDataFrame([("Word",), ("zzz",), (None,)], "word string"), words).collect()
-    assert {r.word: r.present for r in found} == {"Word": True, "zzz": False}
+    found = lexicon.contains_words(spark.createDataFrame([("Storm",), ("zzz",), (None,)], "word string"), words).collect()
+    assert {r.word: r.present for r in found} == {"Storm": True, "zzz": False}
 
 
 def test_lookup_join_with_hot_key(spark, monkeypatch):
