@@ -62,9 +62,9 @@ def test_fit_takes_whole_texts():
 
     frame = pd.DataFrame({"prompt": ["ab " * 900 + "zq"], "response": ["ab " * 900 + "4; zq"]})
     out = pd.concat(pairs._count([frame]))
-    assert out[out["kind"] == "inside"]["n"].sum() == 901 * 3 - 1
-    kept = set(out[out["kind"] == "prompt"]["bucket"])
-    assert set(pairs.grams("zq")) <= kept
+    size = len("ab " * 900 + "4; zq")
+    assert [out[out["kind"] == f"inside1{n}"]["n"].sum() for n in range(3)] == [size - 1, size - 2, size - 3]
+    assert set(pairs.Texts.of(["zq"]).grams) <= set(out[out["kind"] == "prompt"]["bucket"])
 
 
 GOOD = [("The old boat is red.", "Con thuyền cũ thì đỏ."), ("Our teacher sold the house yesterday.", "Cô giáo đã bán ngôi nhà hôm qua."), ("Who found the new map?", "Ai đã tìm thấy tấm bản đồ mới?")]
