@@ -16,13 +16,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def p1_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct term of the three columns with its counts and mark."""
-    items = table(spark, sf_dir, "dictionary_items").select("item_id", "text_id", "normalized_tokens", "item_type").dropDuplicates(["item_id"])
-    corrections = table(spark, sf_dir, "token_corrections").select("result_id", "token_no", "corrected").dropDuplicates(["result_id", "token_no"])
+    items, corrections = table(spark, sf_dir, "dictionary_items"), table(spark, sf_dir, "token_corrections")
     return frequency.term_frequencies(
         [
-            frequency.TermField(items, "normalized_tokens", "text_id", "normalized_tokens", is_array=True),
-            frequency.TermField(items, "item_type", "text_id", "item_type"),
-            frequency.TermField(corrections, "corrected", "result_id", "corrected"),
+            frequency.TermField(items, "normalized_tokens", "text_id", "normalized_tokens", is_array=True, key=("item_id",)),
+            frequency.TermField(items, "item_type", "text_id", "item_type", key=("item_id",)),
+            frequency.TermField(corrections, "corrected", "result_id", "corrected", key=("token_no",)),
         ]
     )
 

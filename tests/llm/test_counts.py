@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelight.llm import encoding, frequency, percentiles, splitting
+from pagelight.operators import joins
 
 RAW = ["Word", " word ", "ＷＯＲＤ", "word ", "straße", "STRASSE", "ﬁne", "", "  ", None, "x", "İ", "a\tb"]
 
@@ -16,13 +17,18 @@ def normal(value):
     return unicodedata.normalize("NFKC", value).strip().casefold()
 
 
-def test_terms_equal_brute_force(spark):
+@pytest.mark.parametrize("hot, broadcast", [(10**6, 10**5), (20, 10**5), (10**6, 0)])
+def test_terms_equal_brute_force(spark, monkeypatch, hot, broadcast):
+    monkeypatch.setattr(frequency, "HOT_ROWS", hot)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast)
     rng = random.Random(1)
     lists = [(i, i // 2, [rng.choice(RAW) for _ in range(rng.randint(0, 6))] if i % 7 else None) for i in range(400)]
-    plain = [(i % 50, "hot" if i % 3 else rng.choice(RAW)) for i in range(900)]
-    a = spark.createDataFrame(lists, "item long, record long, terms array<string>").withColumn("field_name", F.lit("clash"))
+    plain = [(i % 50 or None, "hot" if i % 3 else rng.choice(RAW)) for i in range(900)]
+    # Some rows are stored again.
+    a = spark.createDataFrame(lists + lists[::9], "item long, record long, terms array<string>").withColumn("field_name", F.lit("clash")).withColumn("id", F.lit(1))
     b = spark.createDataFrame(plain, "record long, term string")
-    out = frequency.term_frequencies([frequency.TermField(a, "terms", "record", "many", is_array=True), frequency.TermField(b, "term", "record", "one")])
+    fields = [frequency.TermField(a, "terms", "record", "many", is_array=True, key=("item",)), frequency.TermField(b, "term", "record", "one")]
+    out = frequency.term_frequencies(fields)
     got = {(r.field_name, r.term): (r.n_occurrences, r.n_records, r.mark) for r in out.collect()}
     rows = [("many", r, t) for _, r, ts in lists for t in ts or []] + [("one", r, t) for r, t in plain]
     occurs, records, held = Counter(), defaultdict(set), defaultdict(set)
@@ -36,7 +42,7 @@ def test_terms_equal_brute_force(spark):
         k = len(records[key])
         due[key] = (n, k, "rare" if k <= 2 else "common" if 10 * k >= 3 * len(held[key[0]]) else None)
     assert got == due
-    ids = frequency.dictionary(frequency.occurrences([frequency.TermField(b, "term", "record", "one")]))
+    ids = frequency.dictionary(fields)[0]
     assert sorted(r.id for r in ids.collect()) == list(range(ids.count()))
 
 
