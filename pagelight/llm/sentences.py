@@ -2,9 +2,11 @@
 
 Method: a semi-Markov model. Every end mark (and, in scripts without them,
 every space) is a candidate; dynamic programming then chooses whole spans
-between candidates, so that length, opening word, closing word and balanced
-quotations are scored together. Speech quoted inside a sentence stays in it
-because cutting there would leave two unbalanced spans.
+between candidates. A span's score is the sum of its closing word, mark and the
+opening word of what follows (one joint log odds, see _odds), its length, and
+its quotations: a span that begins or ends within a quotation or bracket is
+unbalanced. Cutting there costs more than any mark is worth, so speech quoted
+inside a sentence stays in it, however many sentences it has.
 """
 
 from __future__ import annotations
@@ -43,9 +45,12 @@ _WORD = re.compile(r"[^\W_]+")
 _NUMBERED = re.compile(r"\d{1,3}[.)]\s+[^\W\d_a-z]")
 _SPEECH = re.compile("[说問问道喊答叫]")
 
-UNBALANCED, EMPTY = -6.0, -9.0
-#: Usual length of a sentence; candidates that are left out together where none can be the best predecessor.
-USUAL, RUN = 60, 64
+#: Cost of an end within a quotation (half of it to the span on either side; more than the odds of any mark and MOST together), and of a span without letters.
+UNBALANCED, EMPTY = 6.0, 9.0
+#: Usual length of a sentence; cost of other lengths, by the square of their logarithm; the most that a length can cost.
+USUAL, LENGTH, MOST = 60, 0.08, 1.5
+#: From this length on a span costs MOST.
+FLAT = math.ceil(USUAL * math.exp(math.sqrt(MOST / LENGTH)))
 
 
 def _quote_marks(text: str) -> list[tuple[int, int, int]]:
@@ -53,6 +58,7 @@ def _quote_marks(text: str) -> list[tuple[int, int, int]]:
     out = []
     low_open = 0
     straight = 0
+    opened = set()
     for m in _QUOTES.finditer(text):
         c, at = m[0], m.start()
         before = text[at - 1] if at else " "
@@ -60,15 +66,17 @@ def _quote_marks(text: str) -> list[tuple[int, int, int]]:
         if c in "’'‘":
             if before.isalnum() and after.isalnum():
                 continue
-            if c == "’" and before.isalpha() and not any(k == 1 and s > 0 for _, k, s in out):
+            if c == "’" and before.isalpha() and 1 not in opened:
                 continue
             if c == "'":
                 opening = not before.isalnum() and before not in ".!?,…" and after.isalnum()
-                if not opening and not any(k == 6 and s > 0 for _, k, s in out):
+                if not opening and 6 not in opened:
                     continue
                 out.append((at, 6, 1 if opening else -1))
             else:
                 out.append((at, 1, 1 if c == "‘" else -1))
+            if out[-1][2] > 0:
+                opened.add(out[-1][1])
         elif c == '"':
             straight ^= 1
             out.append((at, 5, 1 if straight else -1))
@@ -188,8 +196,36 @@ def _odds(text: str, low: int, high: int, m: re.Match) -> float | None:
     return after
 
 
-def _segment_block(text: str, low: int, high: int) -> list[int]:
-    """Ends of the sentences of text[low:high], a stretch without blank lines."""
+def _quoted(text: str, nodes: list[int]) -> list[bool]:
+    """Does each node lie within a quotation or bracket? Marks without a partner hold nothing."""
+    edges = []
+    opened: dict[int, list[int]] = {}
+    for at, kind, step in _quote_marks(text[nodes[0] : nodes[-1]]) if _QUOTES.search(text, nodes[0], nodes[-1]) else ():
+        if step > 0:
+            opened.setdefault(kind, []).append(at)
+        elif opened.get(kind):
+            # Within: behind the opening mark and not behind the closing one.
+            edges += [(nodes[0] + opened[kind].pop() + 1, 1), (nodes[0] + at + 1, -1)]
+    edges.sort()
+    out, depth, k = [], 0, 0
+    for node in nodes:
+        while k < len(edges) and edges[k][0] <= node:
+            depth += edges[k][1]
+            k += 1
+        out.append(depth > 0)
+    return out
+
+
+def _length_cost(size: int) -> float:
+    return min(MOST, LENGTH * math.log(size / USUAL) ** 2)
+
+
+def _empty(text: str, begin: int, end: int) -> bool:
+    return end - begin < 12 and not any(c.isalpha() for c in text[begin:end])
+
+
+def _nodes(text: str, low: int, high: int) -> tuple[list[int], list[float]]:
+    """The candidates of a stretch without blank lines, its begin and its end; what an end at each is worth."""
     found: dict[int, float] = {}
     for m in _MARK.finditer(text, low, high):
         if m.end() < high:
@@ -199,56 +235,46 @@ def _segment_block(text: str, low: int, high: int) -> list[int]:
     if not text.isascii():
         for m in _BARE_SPACE.finditer(text, low, high):
             found[m.start()] = 4.0
-    if not found:
-        return [high]
     places = sorted(found)
-    marks = _quote_marks(text[low:high]) if _QUOTES.search(text, low, high) else []
-    # Net quotation marks before each node.
     nodes = [low, *places, high]
-    net, running, k = [], [0] * 7, 0
-    for node in nodes:
-        while k < len(marks) and marks[k][0] + low < node:
-            running[marks[k][1]] += marks[k][2]
-            k += 1
-        net.append(tuple(running))
+    worth = [0.0, *(found[p] for p in places), 0.0]
+    if places:
+        for k, inside in enumerate(_quoted(text, nodes)):
+            worth[k] -= UNBALANCED * (inside and 0 < k < len(nodes) - 1)
+    return nodes, worth
+
+
+def _segment_block(text: str, low: int, high: int) -> list[int]:
+    """Ends of the sentences of text[low:high], a stretch without blank lines.
+
+    best[j]: the score of the best spans up to node j. No predecessor is left
+    out: spans of FLAT and more cost the same, so that of their begins the one
+    of the highest score is the best; of shorter ones the search ends where
+    the highest score of all that are left can't do better.
+    """
+    nodes, worth = _nodes(text, low, high)
     n = len(nodes)
-    best, back = [0.0] + [-math.inf] * (n - 1), [0] * n
-    # The best score of each run of RUN nodes and of all nodes up to its end.
-    tops, highest = [-math.inf] * (n // RUN + 1), [-math.inf] * (n // RUN + 1)
-    tops[0] = highest[0] = 0.0
-    # The states of the quotation marks in each run, and in all.
-    seen = {net[0]}
-    states: list[set] = [set() for _ in tops]
-    states[0].add(net[0])
+    if n == 2:
+        return [high]
+    best, back = [0.0] * n, [0] * n
+    # The highest score up to each node, and the last node that has it.
+    highest, of = [0.0] * n, [0] * n
+    far = -1
     for j in range(1, n):
-        closing = found.get(nodes[j], 0.0)
-        i = j - 1
-        while i >= 0:
-            if i % RUN == RUN - 1 or i == j - 1:
-                # No node of the run, or none before either, can do better: a longer span beyond USUAL costs
-                # more, another state of the quotation marks is one more loss at least, the rest is no gain.
-                run = i // RUN
-                cost = 0.08 * math.log(max(USUAL, nodes[j] - nodes[i]) / USUAL) ** 2
-                if highest[run] + closing + (0.0 if net[j] in seen else UNBALANCED) - cost <= best[j]:
-                    break
-                if tops[run] + closing + (0.0 if net[j] in states[run] else UNBALANCED) - cost <= best[j]:
-                    i = run * RUN - 1
-                    continue
-            score = best[i] + closing
-            if net[i] != net[j]:
-                score += UNBALANCED * sum(1 for a, b in zip(net[i], net[j]) if a != b)
-            size = nodes[j] - nodes[i]
-            score -= 0.08 * math.log(size / USUAL) ** 2
-            if size < 12 and not any(c.isalpha() for c in text[nodes[i] : nodes[j]]):
-                score += EMPTY
-            if score > best[j]:
-                best[j], back[j] = score, i
-            i -= 1
-        run = j // RUN
-        seen.add(net[j])
-        states[run].add(net[j])
-        tops[run] = max(tops[run], best[j])
-        highest[run] = max(tops[run], highest[run - 1] if run else tops[run])
+        end = nodes[j]
+        while nodes[far + 1] <= end - FLAT:
+            far += 1
+        top, place = (highest[far] - MOST, of[far]) if far >= 0 else (-math.inf, 0)
+        for i in range(j - 1, far, -1):
+            size = end - nodes[i]
+            # Another length can only cost more from USUAL on.
+            if highest[i] - (_length_cost(size) if size > USUAL else 0.0) < top:
+                break
+            score = best[i] - _length_cost(size) - EMPTY * _empty(text, nodes[i], end)
+            if score > top or score == top and i > place:
+                top, place = score, i
+        best[j], back[j] = top + worth[j], place
+        highest[j], of[j] = (best[j], j) if best[j] >= highest[j - 1] else (highest[j - 1], of[j - 1])
     ends, j = [], n - 1
     while j:
         ends.append(nodes[j])

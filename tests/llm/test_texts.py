@@ -41,14 +41,45 @@ def test_blocks_without_quotation_are_scored_alike():
     assert len(sentences.sentences(text)) == 3
 
 
-def test_long_quotations_stay_whole():
-    text = "He said: “" + "See p. 3 and no. 4 here, etc. and so on. " * 30 + "It is so.” Then he left."
-    cuts = sentences.sentences(text)
-    assert [text[a:b] for a, b in cuts][-1] == "Then he left."
-    # Long, with no mark at which a sentence ends.
+@pytest.mark.parametrize("many", [1, 2, 4, 5, 8, 30, 100])
+@pytest.mark.parametrize("marks", ["“”", "„“", "()", "«»", "「」"])
+def test_quoted_speech_of_any_length_is_in_its_sentence(many, marks):
+    speech = " ".join(f"The boat number {i} is old." for i in range(many))
+    units = ["We met.", f"He said: {marks[0]}{speech}{marks[1]} and left again.", "Then it rained."]
+    text = " ".join(units)
+    assert [text[a:b] for a, b in sentences.sentences(text)] == units
+
+
+def test_marks_without_a_partner_hold_nothing():
+    text = "The “old boat is red. A (new one is not. It sank."
+    assert len(sentences.sentences(text)) == 3
     text = "(" + "z. B. ca. 3 m, " * 60 + "so) it is. We left."
     assert [text[a:b] for a, b in sentences.sentences(text)] == [text[:-9], "We left."]
     assert len(sentences.sentences("z. B. vgl. " * 4000)) == 1
+    assert len(sentences.sentences("(" + "เรือพังมากค่ะ " * 20_000 + ") ok. " + "So it is. " * 3)) == 4
+
+
+def test_program_equals_all_segmentations():
+    """The best of all ways to cut short texts, scored span by span, with and without quotations."""
+    import random
+
+    rng = random.Random(8)
+    parts = ["The boat is red", "he left", "z", " (", ") ", " “", "” ", ". ", "! ", "? ", "… ", "Dr. ", "5 ", "3.", "ครับ ", "。", "\n", "why", " and so on it goes without an end in sight of anyone", '"']
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(2, 14)))
+        low, high = 0, len(text)
+        nodes, worth = sentences._nodes(text, low, high)
+        inner = range(1, len(nodes) - 1)
+        if len(inner) > 9:
+            continue
+
+        def total(cuts):
+            spans = list(zip([0, *cuts], [*cuts, len(nodes) - 1]))
+            return sum(worth[j] - sentences._length_cost(nodes[j] - nodes[i]) - sentences.EMPTY * sentences._empty(text, nodes[i], nodes[j]) for i, j in spans)
+
+        every = [[k for n, k in enumerate(inner) if bits >> n & 1] for bits in range(1 << len(inner))]
+        got = [nodes.index(e) for e in sentences._segment_block(text, low, high)][:-1]
+        assert total(got) == pytest.approx(max(map(total, every)))
 
 
 def test_sentences_of_rows(spark):
