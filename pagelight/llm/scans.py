@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelight.functions.chars import fold_text, strip_ws
 from pagelight.session import pinned
 
 CHUNK, MARGIN = 32, 4
@@ -31,6 +32,8 @@ LONG, ROWS = 40, 10_000
 EDGE = 3
 #: Share of common letter triples from which two edge lines repeat each other.
 ALIKE = 0.6
+#: The same for a line beside the page's own number, which no prose has.
+NUMBERED = 0.3
 #: A word is misread only if the word it stands for is this many times as frequent.
 RATIO = 10
 #: The most frequent tokens, which no misreading can be; a bound of what is sent to all tasks.
@@ -141,7 +144,7 @@ class _Page:
                 if hint["first_line"] < 0:
                     self.has.add(hint["label"])
                     continue
-                for line in range(hint["first_line"], min(hint["last_line"], hint["first_line"] + 3) + 1):
+                for line in range(hint["first_line"], min(hint["last_line"], len(self.lines) - 1) + 1):
                     self.hints[line] = hint["label"]
 
     def edge(self, bottom: bool) -> list[int]:
@@ -165,7 +168,7 @@ def _bare(page: _Page, line: str, offset: int | None, dresses: Counter) -> tuple
 
 def _could_run(text: str) -> bool:
     """Has the form of running text: not in the middle of prose."""
-    return not (text[:1].islower() or text[-1:] in ".,;?!:" or text[-1:] in HYPHENS or sum(map(str.isalpha, text)) < 3 or len(text) > 120 or _HEADING.match(text))
+    return not (text[:1].islower() or text[-1:] in ".,;?!:" or text[-1:] in HYPHENS or sum(map(str.isalpha, text)) < 3 or _HEADING.match(text))
 
 
 def _titled(text: str) -> bool:
@@ -255,7 +258,7 @@ def label_pages(rows: pd.DataFrame) -> list[_Page]:
                 alike = repeated.get((p, i), 0.0)
                 k = page.full.index(i)
                 after_heading = k > 0 and page.kind[page.full[k - 1]] == "prose" and _HEADING.match(page.lines[page.full[k - 1]].strip())
-                if not after_heading and _could_run(bare) and (alike >= ALIKE or numbered and len(bare) < 80 or hint in ("header", "footer") and alike >= 0.35 or ("footer" if bottom else "header") in page.has and alike >= 0.45):
+                if not after_heading and _could_run(bare) and (alike >= ALIKE or numbered and alike >= NUMBERED or hint in ("header", "footer") and alike >= 0.35 or ("footer" if bottom else "header") in page.has and alike >= 0.45):
                     page.kind[i] = "running_text"
                     continue
                 break
@@ -266,7 +269,7 @@ def label_pages(rows: pd.DataFrame) -> list[_Page]:
                 continue
             if _HEADING.match(line):
                 page.kind[i], heading = "heading", True
-            elif heading and n and page.full[n - 1] == i - 1 and len(line) < 60 and line[-1:] not in ".,;?!" and all(w[:1].isupper() or len(w) < 4 for w in line.split()):
+            elif heading and n and page.full[n - 1] == i - 1 and line[-1:] not in ".,;?!" and all(w[:1].isupper() or len(w) < 4 for w in line.split()):
                 page.kind[i] = "heading"
             else:
                 heading = False
@@ -311,7 +314,7 @@ def label_lines(ocr: DataFrame, pages: DataFrame, regions: DataFrame) -> DataFra
     """
     text = ocr.select("result_id", "page_id", "original_text").where("original_text is not null").dropDuplicates(["result_id"])
     book = pages.select("page_id", "book_id", "page_no").where("book_id is not null").dropDuplicates(["page_id"])
-    label = F.regexp_replace(F.lower(F.trim("label")), r"[\s\-]+", "_")
+    label = F.regexp_replace(strip_ws(fold_text(F.col("label"))), r"[\s\-]+", "_")
     # A region without known lines still tells that its page has running text.
     hints = regions.select("region_id", "page_id", label.alias("label"), F.coalesce("first_line", F.lit(-1)).alias("first_line"), F.coalesce("last_line", F.lit(-1)).alias("last_line"))
     hints = hints.where("label in ('header', 'footer', 'page_number') and page_id is not null").dropDuplicates(["region_id"])

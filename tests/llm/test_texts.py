@@ -185,12 +185,15 @@ def test_paragraphs(spark, book):
     assert "the reason for the storm" in text and "harbour of the old teacher" in text
 
 
-def test_paragraphs_over_stretches(spark, book):
+@pytest.mark.parametrize("chunk", [4, 32, 1000])
+def test_paragraphs_over_stretches(spark, book, monkeypatch, chunk):
+    """The same rows for stretches of any length, each character once."""
+    monkeypatch.setattr(scans, "CHUNK", chunk)
     *_, terms = book
     texts, due = [], []
     words = "map boat hand winter sailor old small harbour teacher left".split()
-    for page in range(1, 81):
-        begin, end = f"the {words[page % 10]} of the {words[page // 10]}", f"who saw the {words[page % 7]} and the har-"
+    for page in range(1, 101):
+        begin, end = f"the {words[page % 10]} of the {words[page // 10 % 10]}", f"who saw the {words[page % 7]} and the har-"
         # A new paragraph begins within a page, but for those of 40 to 69.
         middle = [f"   Nobody knows the {words[page % 9]}"] if not 40 <= page < 70 else []
         texts.append((page, page, "\n".join([f"bour {begin}", *middle, end])))
@@ -200,12 +203,12 @@ def test_paragraphs_over_stretches(spark, book):
             due.append(middle[0].strip())
         due[-1] += f" {end[:-1]}"
     ocr = spark.createDataFrame(texts, "result_id long, page_id long, original_text string")
-    pages = spark.createDataFrame([(i, 1, i) for i in range(1, 81)], "page_id long, book_id long, page_no int")
+    pages = spark.createDataFrame([(i, 1, i) for i in range(1, 101)], "page_id long, book_id long, page_no int")
     regions = spark.createDataFrame([], "region_id long, page_id long, label string, first_line int, last_line int")
     rows = sorted(scans.paragraphs(ocr, pages, regions, terms).collect(), key=lambda r: (r.result_id, r.line_no))
     # A book's last word has nothing to go on with.
     assert [r.text.rstrip("-") for r in rows] == due
-    assert [(r.result_id, r.line_no) for r in rows] == [(1, 0)] + [(p, 1) for p in range(1, 81) if not 40 <= p < 70]
+    assert [(r.result_id, r.line_no) for r in rows] == [(1, 0)] + [(p, 1) for p in range(1, 101) if not 40 <= p < 70]
 
 
 def test_long_words_are_misread_too(spark):
