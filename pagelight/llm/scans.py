@@ -9,7 +9,8 @@ of shapes, from a word that is far more frequent.
 
 Skew: a book may hold a third of all pages, so pages are grouped by stretches of
 CHUNK pages of a book, with MARGIN pages of the neighbouring stretches; no group
-is larger. Of paragraphs only the first and last piece of each stretch meet. Token joins leave the most frequent tokens out beforehand.
+is larger. Of paragraphs only the first and last piece of each stretch meet. Tokens meet
+the misread ones by a broadcast of measured size, or by salted keys beyond it.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelight.functions.chars import fold_text, strip_ws
+from pagelight.operators.joins import lookup_join
 from pagelight.session import pinned
 
 CHUNK, MARGIN = 32, 4
@@ -36,8 +38,6 @@ ALIKE = 0.6
 NUMBERED = 0.3
 #: A word is misread only if the word it stands for is this many times as frequent.
 RATIO = 10
-#: The most frequent tokens, which no misreading can be; a bound of what is sent to all tasks.
-HOT_TOKENS = 2_000
 
 HYPHENS = "-‐‑¬­"
 # Shapes that scanning confuses, as (read, printed).
@@ -513,8 +513,7 @@ def paragraphs(ocr: DataFrame, pages: DataFrame, regions: DataFrame, terms: Data
     found = tokens(lines)
     words = pinned(vocabulary(found, terms))
     wrong = pinned(misreadings(words))
-    rest = _without_hot(found, words, wrong)
-    fixes = rest.join(wrong, "token").groupBy("result_id", "line_no").agg(F.array_sort(F.collect_set(F.struct("token", "printed"))).alias("fixes"))
+    fixes = lookup_join(_whole_words(found), wrong, ["token"], "inner").groupBy("result_id", "line_no").agg(F.array_sort(F.collect_set(F.struct("token", "printed"))).alias("fixes"))
     breaks = line_breaks(lines, words).distinct().withColumn("broken", F.lit(True))
     rows = lines.join(breaks, ["result_id", "line_no"], "left").join(fixes, ["result_id", "line_no"], "left").withColumn("broken", F.coalesce("broken", F.lit(False)))
     rows = rows.withColumn("chunk", F.floor(F.col("page_no") / CHUNK).cast("int"))
@@ -531,12 +530,9 @@ def paragraphs(ocr: DataFrame, pages: DataFrame, regions: DataFrame, terms: Data
     return pieces.where("not edge").select(joined.columns).unionByName(joined)
 
 
-def _without_hot(found: DataFrame, words: DataFrame, wrong: DataFrame) -> DataFrame:
-    """(result_id, line_no, token) of prose, without halves of broken words and without the most frequent good tokens."""
-    # At most HOT_TOKENS words: a fixed bound. What is left of any token is a small share of all rows.
-    hot = words.join(wrong.select("token"), "token", "left_anti").orderBy(F.desc("n"), "token").limit(HOT_TOKENS).select("token")
-    rest = found.where("kind = 'prose' and not broken and not (first and broken_before)").select("result_id", "line_no", "token")
-    return rest.join(F.broadcast(hot), "token", "left_anti")
+def _whole_words(found: DataFrame) -> DataFrame:
+    """(result_id, line_no, token) of prose, without halves of broken words."""
+    return found.where("kind = 'prose' and not broken and not (first and broken_before)").select("result_id", "line_no", "token")
 
 
 def places(ocr: DataFrame, pages: DataFrame, regions: DataFrame, terms: DataFrame) -> DataFrame:
@@ -545,7 +541,7 @@ def places(ocr: DataFrame, pages: DataFrame, regions: DataFrame, terms: DataFram
     found = tokens(lines)
     words = pinned(vocabulary(found, terms))
     wrong = pinned(misreadings(words))
-    misread = _without_hot(found, words, wrong).join(wrong.select("token"), "token", "left_semi").select("result_id", "line_no")
+    misread = lookup_join(_whole_words(found), wrong.select("token"), ["token"], "inner").select("result_id", "line_no")
     edges = lines.where("kind in ('running_text', 'page_number')").select("result_id", "line_no", "kind")
     out = edges.unionByName(line_breaks(lines, words).withColumn("kind", F.lit("hyphen_break"))).unionByName(misread.withColumn("kind", F.lit("misread")))
     return out.distinct()
