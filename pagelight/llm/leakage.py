@@ -1,14 +1,17 @@
 """Evaluation passages inside training texts.
 
-Method: the rarest word n-grams of each stretch of a test passage, by their
-frequency over the whole corpus, are the seeds that lead from a document to
-candidate items; a Smith-Waterman alignment of document and passage then scores what the
-document holds. A jump of any length costs the same, so that a passage copied
-in a few pieces is one alignment.
-
-The test items are a stated query set: they are taken in blocks of BLOCK items,
-each block is sent to all tasks and the documents are passed once to count and
-once to search; documents are never shuffled.
+Method: the word n-grams of a test passage are the seeds that lead from a
+document to candidate items, each with the weight of its rarity in the whole
+corpus, so that rare ones decide; a Smith-Waterman alignment of document and passage then scores
+what the document holds. N-grams are three words of four in a row, with and
+without a gap, so that seeds survive where every third word is changed. A jump
+of any length costs the same in the alignment, so that a passage copied in a
+few pieces is one alignment; it keeps rows of scores only, for all candidates
+of a batch at once.
+
+The test items are a stated query set: they are taken in blocks of WORDS words,
+each block is sent to all tasks (its size is bounded by that) and the documents
+are passed once to count and once to search; documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -26,17 +29,23 @@ from pyspark.sql import functions as F
 from pagelight.llm.sentences import sentences
 from pagelight.session import spread
 
-#: Words of a seed; test items of one block; share of an item's n-grams that are seeds.
-GRAM, BLOCK, SEEDS = 3, 2_000, 0.5
-#: Seeds are the rarest of this many n-grams in a row.
-STRETCH = 4
-#: A candidate has this share of an item's seeds, and this many at least.
-SEED_SHARE, LEAST_SEEDS = 0.12, 3
-#: Share of the passage's words that a document must hold.
-HELD = 0.5
+#: Words of a seed, and their places in it; words of the test passages of one block.
+GRAM, SHAPES, WORDS = 3, ((0, 1, 2), (0, 1, 3), (0, 2, 3)), 2_000_000
+#: A candidate has this share of the weight of an item's seeds, and this many of them at least.
+SEED_SHARE, LEAST_SEEDS = 0.15, 4
+#: Share of the passage's words that a document must hold, changed ones included; share of them that must be equal; share of equal ones among those paired.
+HELD, SAME, EQUAL = 0.5, 0.45, 0.62
 #: First or last sentences of this share of all items (three at least) are standard frames, a word of them left open.
 FRAME = 0.02
-MATCH, MISMATCH, GAP, JUMP = 1, -3, -2, 6
+MATCH, MISMATCH, GAP, JUMP = 2, -3, -4, 14
+#: A score, the number of pairs and of equal ones are one number, 21 bits each for the last two; passages have fewer than 2^20 words.
+SCORE, PAIR = 1 << 42, 1 << 21
+#: Words around n-grams of the passage that are aligned; n-grams that must stand together for it, within as many words: a piece worth a JUMP has more.
+REACH, CLOSE, WITHIN = 40, 3, 24
+#: Scores of one row of a batch of alignments.
+CELLS = 1 << 15
+#: Bits of the table that sorts out most n-grams that no passage has.
+FILTER = 22
 
 _WORD = re.compile(r"[^\W_]+")
 _BROKEN = re.compile(r"(?<=\w)[-‐¬­][ \t\r]*\n\s*(?=[^\W\d_])")
@@ -98,19 +107,27 @@ class ItemBlock:
     owners: np.ndarray
     seeds: np.ndarray | None = None
     needed: np.ndarray | None = None
+    least: np.ndarray | None = None
+    filter: np.ndarray | None = None
+    #: Each item's n-grams in order, one item behind the other, and where each begins.
+    of_item: np.ndarray | None = None
+    first: np.ndarray | None = None
 
     def codes(self, found: np.ndarray) -> np.ndarray:
-        """A code of each n-gram, -1 where a word is in no passage."""
-        if len(found) < GRAM:
-            return np.zeros(0, np.int64)
+        """(shape, place): a code of each n-gram, -1 where a word is in no passage or the text ends."""
         size = len(self.vocabulary) + 1
-        code = np.zeros(len(found) - GRAM + 1, np.int64)
-        known = np.ones(len(code), bool)
-        for k in range(GRAM):
-            part = found[k : len(code) + k]
-            code = code * size + part + 1
-            known &= part >= 0
-        return np.where(known, code, -1)
+        out = np.full((len(SHAPES), len(found)), -1, np.int64)
+        for row, shape in enumerate(SHAPES):
+            many = len(found) - shape[-1]
+            if many > 0:
+                code = np.full(many, row, np.int64)
+                known = np.ones(many, bool)
+                for k in shape:
+                    part = found[k : many + k]
+                    code = code * size + part + 1
+                    known &= part >= 0
+                out[row, :many] = np.where(known, code, -1)
+        return out
 
     def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Word ids of the texts in a row, a foreign word behind each; where each one begins, and the end."""
@@ -125,16 +142,29 @@ class ItemBlock:
     def hits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """ids_of the texts; and of each n-gram of a passage in them: its place, its text's number, the gram."""
         found, begin = self.ids_of(texts)
-        at, gram = self.held(self.codes(found))
+        codes = self.codes(found)
+        at, gram = [], []
+        for row in codes:
+            places, held = self.held(row)
+            at.append(places)
+            gram.append(held)
+        at, gram = np.concatenate(at), np.concatenate(gram)
+        order = np.argsort(at, kind="stable")
+        at, gram = at[order], gram[order]
         return found, begin, at, np.searchsorted(begin, at, side="right") - 1, gram
 
     def held(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions whose n-gram is in some passage, and its place among the grams."""
         if not len(codes) or not len(self.grams):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        place = np.minimum(np.searchsorted(self.grams, codes), len(self.grams) - 1)
-        at = np.flatnonzero(self.grams[place] == codes)
-        return at, place[at]
+        likely = np.flatnonzero(self.filter[_slot(codes)] & (codes >= 0))
+        place = np.minimum(np.searchsorted(self.grams, codes[likely]), len(self.grams) - 1)
+        good = self.grams[place] == codes[likely]
+        return likely[good], place[good]
+
+
+def _slot(codes: np.ndarray) -> np.ndarray:
+    return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FILTER)).astype(np.int64)
 
 
 def item_block(rows: list) -> ItemBlock:
@@ -146,130 +176,151 @@ def item_block(rows: list) -> ItemBlock:
             ids.append(row["eval_id"])
             texts.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in found], np.int64))
     block = ItemBlock(ids, texts, vocabulary, np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64))
-    codes = [np.unique(block.codes(x)) for x in texts]
+    codes = [np.unique(c[c >= 0]) for c in map(block.codes, texts)]
     if codes:
         flat, owner = np.concatenate(codes), np.repeat(np.arange(len(codes)), [len(c) for c in codes])
         order = np.lexsort((owner, flat))
         block.grams, first = np.unique(flat[order], return_index=True)
         block.starts, block.owners = np.append(first, len(flat)), owner[order]
+        block.of_item = np.repeat(np.arange(len(first)), np.diff(block.starts))[np.argsort(block.owners, kind="stable")]
+        block.first = np.append(0, np.cumsum(np.bincount(block.owners, minlength=len(ids))))
+        block.filter = np.zeros(1 << FILTER, bool)
+        block.filter[_slot(block.grams)] = True
     return block
 
 
-def choose_seeds(block: ItemBlock, frequency: np.ndarray) -> None:
-    """Gives each item's seeds their weights: of every STRETCH of positions the SEEDS share of lowest corpus frequency.
+def choose_seeds(block: ItemBlock, frequency: np.ndarray, documents: int) -> None:
+    """Gives each n-gram its weight: the logarithm of how rare it is among the documents.
 
-    The choice is by rank and not by a limit, so that an item whose passage is
-    copied into a third of the corpus keeps its seeds. N-grams that no document
-    holds are no seeds, and each stretch is ranked by itself: whatever part of a
-    passage is copied, and however often, its whole stretches have their seeds.
-    A seed that is chosen several times counts as often.
+    Rarity weighs and nothing is cut off by rank or limit: an item whose passage
+    is copied into a third of the corpus keeps all seeds, of one weight, and so
+    does whatever part or edited form of a passage is copied. N-grams that no
+    document holds are no seeds.
     """
-    items, some = len(block.ids), round(STRETCH * SEEDS)
-    keys = np.repeat(np.arange(len(block.grams)), np.diff(block.starts)) * items + block.owners
-    absent = np.iinfo(np.int64).max
-    block.seeds = np.zeros(len(keys), np.int64)
-    for item, words in enumerate(block.words):
-        gram = np.searchsorted(block.grams, block.codes(words))
-        counts = np.full(-(-len(gram) // STRETCH) * STRETCH, absent)
-        counts[: len(gram)] = np.where(frequency[gram] > 0, frequency[gram], absent)
-        pick = (np.arange(0, len(counts), STRETCH)[:, None] + counts.reshape(-1, STRETCH).argsort(axis=1, kind="stable")[:, :some]).ravel()
-        pick = pick[counts[pick] < absent]
-        np.add.at(block.seeds, np.searchsorted(keys, gram[pick] * items + item), 1)
-    seeds = np.bincount(block.owners, weights=block.seeds, minlength=items)
-    block.needed = np.minimum(np.maximum(LEAST_SEEDS, np.ceil(seeds * SEED_SHARE)), np.maximum(seeds, 1)).astype(np.int64)
-
-
-def aligned_words(passage: np.ndarray, text: np.ndarray) -> int:
-    """Words of the passage that the best alignment pairs with a word of the text.
+    block.seeds = np.where(frequency > 0, np.log1p(documents / np.maximum(frequency, 1)), 0.0)
+    weight = np.repeat(block.seeds, np.diff(block.starts))
+    block.needed = SEED_SHARE * np.bincount(block.owners, weights=weight, minlength=len(block.ids))
+    block.least = np.minimum(LEAST_SEEDS, np.bincount(block.owners, weights=weight > 0, minlength=len(block.ids)))
+
+
+def aligned_words(passages: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each pair the words of the passage that the best alignment pairs with a word of the text; how many are equal.
 
     Pairs within a piece count whether equal or changed. Between two pieces any
-    stretch of either may be left out, for JUMP; the order is kept.
+    stretch of either may be left out, for JUMP; the order is kept. Of
+    alignments of the same score the one of more pairs counts. All pairs are
+    aligned row by row of the passages together; only two rows are kept.
     """
-    n, m = len(passage), len(text)
+    many, n, m = len(texts), max(map(len, passages), default=0), max(map(len, texts), default=0)
+    best = np.zeros(many, np.int64)
     if not n or not m:
-        return 0
-    # A passage that stands there word for word aligns with itself.
-    for at in np.flatnonzero(text[: m - n + 1] == passage[0]) if m >= n else ():
-        if np.array_equal(text[at : at + n], passage):
-            return n
-    ramp = np.arange(m + 1, dtype=np.int32)
-    score = np.zeros((n + 1, m + 1), np.int32)
-    # The best of all cells above and to the left, for a jump.
-    before = np.zeros((n + 1, m + 1), np.int32)
-    down = GAP * ramp
-    pairs_of = {int(w): np.where(text == w, MATCH, MISMATCH).astype(np.int32) for w in np.unique(passage)}
-    for i in range(1, n + 1):
-        row, above = score[i], score[i - 1]
-        inner = row[1:]
-        np.subtract(before[i - 1, :-1], JUMP, out=inner)
-        np.maximum(inner, above[:-1], out=inner)
-        inner += pairs_of[int(passage[i - 1])]
-        np.maximum(inner, above[1:] + GAP, out=inner)
+        return best, best
+    # Fillers that equal nothing.
+    asked, given = np.full((n, many), -8, np.int64), np.full((many, m), -9, np.int64)
+    for k, (a, b) in enumerate(zip(passages, texts)):
+        asked[: len(a), k], given[k, : len(b)] = a, b
+    down = GAP * SCORE * np.arange(m + 1, dtype=np.int64)
+    above, before = np.zeros((many, m + 1), np.int64), np.zeros((many, m + 1), np.int64)
+    row = np.zeros((many, m + 1), np.int64)
+    for i in range(n):
+        inner = row[:, 1:]
+        # The best of all cells above and to the left, for a jump.
+        np.subtract(before[:, :-1], JUMP * SCORE, out=inner)
+        np.maximum(inner, above[:, :-1], out=inner)
+        inner += np.where(given == asked[i][:, None], MATCH * SCORE + PAIR + 1, MISMATCH * SCORE + PAIR)
+        np.maximum(inner, above[:, 1:] + GAP * SCORE, out=inner)
+        row[:, 0] = 0
         np.maximum(row, 0, out=row)
         row -= down
-        np.maximum.accumulate(row, out=row)
+        np.maximum.accumulate(row, axis=1, out=row)
         row += down
-        np.maximum.accumulate(row, out=before[i])
-        np.maximum(before[i], before[i - 1], out=before[i])
-    i, j = (int(x) for x in np.unravel_index(int(score.argmax()), score.shape))
-    pairs = 0
-    while i > 0 and j > 0 and score[i, j] > 0:
-        value = score[i, j]
-        pair = MATCH if text[j - 1] == passage[i - 1] else MISMATCH
-        if value == score[i - 1, j - 1] + pair:
-            pairs += 1
-            i, j = i - 1, j - 1
-        elif value == score[i - 1, j] + GAP:
-            i -= 1
-        elif value == score[i, j - 1] + GAP:
-            j -= 1
-        else:
-            # A jump: back to the best cell above and to the left.
-            pairs += 1
-            goal = before[i - 1, j - 1]
-            if goal <= 0 or value != goal - JUMP + pair:
-                break
-            a, b = np.unravel_index(int(np.argmax(score[:i, :j] == goal)), (i, j))
-            i, j = a, b
-    return pairs
-
-
-def _near(found: np.ndarray, at: np.ndarray, reach: int = 40) -> np.ndarray:
-    """The words within reach of a seed; a foreign word stands for each stretch left out."""
+        top = np.maximum.accumulate(row, axis=1)
+        np.maximum(before, top, out=before)
+        np.maximum(best, top[:, -1], out=best, where=asked[i] != -8)
+        above, row = row, above
+    return best % SCORE // PAIR, best % PAIR
+
+
+def _near(found: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The words within REACH of the n-grams at; a foreign word stands for each stretch left out."""
     keep = np.zeros(len(found) + 1, np.int64)
-    np.add.at(keep, np.maximum(at - reach, 0), 1)
-    np.add.at(keep, np.minimum(at + GRAM + reach, len(found)), -1)
+    np.add.at(keep, np.maximum(at - REACH, 0), 1)
+    np.add.at(keep, np.minimum(at + GRAM + 1 + REACH, len(found)), -1)
     inside = np.cumsum(keep)[:-1] > 0
     out = np.where(inside, found, -2)
     return out[inside | np.append(False, inside[:-1])]
 
 
-def _search(block: ItemBlock, texts: list[str]) -> list[tuple[int, int, float]]:
-    """(number of the text, item, share held) of the texts that hold a passage."""
+def _candidates(block: ItemBlock, texts: list[str]) -> list[tuple[int, int, np.ndarray]]:
+    """(number of the text, item, the words to align) of the texts that hold enough of an item's seeds."""
     found, begin, at, owner, gram = block.hits(texts)
     if not len(at):
         return []
-    size = len(block.grams)
+    size, items = len(block.grams), len(block.ids)
     pairs = np.unique(owner * size + gram)
     text, distinct = pairs // size, pairs % size
     first, many = block.starts[distinct], np.diff(block.starts)[distinct]
     place = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-    weight = block.seeds[place]
-    seed = weight > 0
-    items = len(block.ids)
-    hits = np.bincount(np.repeat(text, many)[seed] * items + block.owners[place[seed]], weights=weight[seed], minlength=len(texts) * items).reshape(len(texts), items)
+    met, which = np.unique(np.repeat(text, many) * items + block.owners[place], return_inverse=True)
+    weight = np.bincount(which, weights=np.repeat(block.seeds[distinct], many), minlength=len(met))
+    seeds = np.bincount(which, minlength=len(met))
     out = []
-    for number, item in zip(*np.nonzero(hits >= block.needed)):
-        passage = block.words[item]
+    there = np.zeros(len(block.vocabulary) + 2, bool)
+    for pair in met[(weight >= block.needed[met % items]) & (seeds >= block.least[met % items])]:
+        number, item = divmod(int(pair), items)
         low, high = np.searchsorted(owner, [number, number + 1])
-        mine = np.isin(gram[low:high], np.searchsorted(block.grams, np.unique(block.codes(passage))))
-        words = found[begin[number] : begin[number + 1] - 1]
-        held = aligned_words(passage, _near(words, at[low:high][mine] - begin[number])) / len(passage)
-        if held >= HELD:
-            out.append((int(number), block.ids[item], held))
+        mine = block.of_item[block.first[item] : block.first[item + 1]]
+        mine = mine[np.minimum(np.searchsorted(mine, gram[low:high]), len(mine) - 1)] == gram[low:high]
+        places, grams = at[low:high][mine] - begin[number], gram[low:high][mine]
+        # Only n-grams that stand together; they must weigh enough by themselves.
+        close = np.flatnonzero(places[CLOSE - 1 :] - places[: len(places) - CLOSE + 1] <= WITHIN)
+        close = np.unique(close[:, None] + np.arange(CLOSE))
+        if block.seeds[np.unique(grams[close])].sum() < block.needed[item]:
+            continue
+        words = _near(found[begin[number] : begin[number + 1] - 1], places[close])
+        # So many of the passage's words must be there to be paired with equal ones.
+        there[words] = True
+        if there[block.words[item]].sum() >= SAME * len(block.words[item]):
+            out.append((number, item, words))
+        there[words] = False
     return out
 
 
+def _search(block: ItemBlock, texts: list[str]) -> list[tuple[int, int, float]]:
+    """(number of the text, item, share held) of the texts that hold a passage."""
+    asked = []
+    for low in range(0, len(texts), 256):
+        asked += [(low + number, item, words) for number, item, words in _candidates(block, texts[low : low + 256])]
+    # Alignments of about the same size together.
+    asked.sort(key=lambda x: (len(x[2]), len(block.words[x[1]])))
+    out, low = [], 0
+    while low < len(asked):
+        high = low + 1
+        while high < len(asked) and (high + 1 - low) * (len(asked[high][2]) + 1) <= CELLS:
+            high += 1
+        some = asked[low:high]
+        for (number, item, _), pairs, equal in zip(some, *aligned_words([block.words[x[1]] for x in some], [x[2] for x in some])):
+            held = float(pairs) / len(block.words[item])
+            if held >= HELD and equal >= max(EQUAL * pairs, SAME * len(block.words[item])):
+                out.append((number, block.ids[item], held))
+        low = high
+    return sorted(out)
+
+
+def _blocks(rows: Iterator) -> Iterator[list]:
+    """Rows of items in blocks of at most WORDS words, or of one item."""
+    block, words = [], 0
+    for row in rows:
+        many = len(row["passage"] or "") // 2 + 1
+        if block and words + many > WORDS:
+            yield block
+            block, words = [], 0
+        block.append(row)
+        words += many
+    if block:
+        yield block
+
+
 def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, eval_id, held): the items whose passage a document holds to HELD or more of its words.
 
@@ -278,21 +329,18 @@ def find_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text
     whole; only the two named columns are read.
     """
     spark = documents.sparkSession
-    parts = passages(items).repartitionByRange(max(1, -(-items.count() // BLOCK)), "eval_id")
-    blocks = parts.withColumn("block", F.spark_partition_id())
     out = None
     kind = documents.schema[key].dataType.simpleString()
     rows = spread(documents.select(key, text).where(F.col(text).isNotNull()))
-    collected: dict[int, list] = {}
-    for row in blocks.toLocalIterator():
-        collected.setdefault(row["block"], []).append(row)
-    for one in collected.values():
-        found = _find_block(rows, key, kind, spark, item_block(one))
+    many = documents.count()
+    # Only a block at a time is held on the driver.
+    for some in _blocks(passages(items).orderBy("eval_id").toLocalIterator()):
+        found = _find_block(rows, key, kind, spark, item_block(some), many)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], f"`{key}` {kind}, eval_id long, held double")
 
 
-def _find_block(rows: DataFrame, key: str, kind: str, spark, block: ItemBlock) -> DataFrame:
+def _find_block(rows: DataFrame, key: str, kind: str, spark, block: ItemBlock, documents: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(block)
 
     def count(batches):
@@ -312,7 +360,7 @@ def _find_block(rows: DataFrame, key: str, kind: str, spark, block: ItemBlock) -
     counted = rows.mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     frequency = np.zeros(len(block.grams), np.int64)
     frequency[counted["gram"].to_numpy(dtype=np.int64)] = counted["n"].to_numpy()
-    choose_seeds(block, frequency)
+    choose_seeds(block, frequency, documents)
     ready = spark.sparkContext.broadcast(block)
 
     def search(batches):
@@ -320,12 +368,8 @@ def _find_block(rows: DataFrame, key: str, kind: str, spark, block: ItemBlock) -
 
         block = ready.value
         for batch in batches:
-            row, item, held = [], [], []
-            for low in range(0, batch.num_rows, 256):
-                for number, a, b in _search(block, batch.column(1).slice(low, 256).to_pylist()):
-                    row.append(low + number)
-                    item.append(a)
-                    held.append(b)
+            found = _search(block, batch.column(1).to_pylist())
+            row, item, held = ([x[k] for x in found] for k in range(3))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(item, pa.int64()), pa.array(held, pa.float64())], [key, "eval_id", "held"])
 
     return rows.mapInArrow(search, f"`{key}` {kind}, eval_id long, held double")

@@ -262,10 +262,73 @@ def test_leaks_of_one_part(spark, part, others):
     assert sorted(r.doc_id for r in leakage.find_leaks(documents, items).collect()) == list(range(len(rows) - 1))
 
 
+def _brute(passage, text):
+    """The same alignment, cell by cell, keeping (score, pairs, equal)."""
+    best = [[(0, 0, 0)] * (len(text) + 1) for _ in range(len(passage) + 1)]
+    before = [x[:] for x in best]
+    for i, a in enumerate(passage, 1):
+        for j, b in enumerate(text, 1):
+            step = leakage.MATCH if a == b else leakage.MISMATCH
+            ways = [(x[0] + step - cost, x[1] + 1, x[2] + (a == b)) for x, cost in ((best[i - 1][j - 1], 0), (before[i - 1][j - 1], leakage.JUMP))]
+            ways += [(x[0] + leakage.GAP, *x[1:]) for x in (best[i - 1][j], best[i][j - 1])]
+            best[i][j] = max((0, 0, 0), *ways)
+            before[i][j] = max(best[i][j], before[i - 1][j], before[i][j - 1])
+    return before[-1][-1][1:]
+
+
+def test_alignment_equals_brute_force():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    pairs = []
+    for _ in range(60):
+        passage = [rng.randint(0, 12) for _ in range(rng.randint(1, 25))]
+        text = [rng.randint(0, 12) for _ in range(rng.randint(0, 9))] + [x for x in passage if rng.random() > 0.2] + [rng.randint(0, 12) for _ in range(rng.randint(0, 30))]
+        pairs.append((passage, text))
+    got = leakage.aligned_words([np.array(a) for a, _ in pairs], [np.array(b) for _, b in pairs])
+    assert list(zip(*(x.tolist() for x in got))) == [_brute(a, b) for a, b in pairs]
+    assert leakage.aligned_words([], [])[0].tolist() == []
+
+
+def test_recall_by_rate_of_edits():
+    """Whole copies with every third word changed, or up to 30 % of the words at random places, are found; half copies up to 20 %."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(6)
+    known = [f"w{i}" for i in range(900)]
+
+    def text(n):
+        return [known[min(int(rng.expovariate(1 / 120)), 899)] for _ in range(n)]
+
+    items = [text(rng.randint(60, 140)) for _ in range(40)]
+    block = leakage.item_block([{"eval_id": i, "passage": " ".join(x)} for i, x in enumerate(items)])
+    cases = {}
+    for name, change, part in [("third", None, 1), ("10", 0.1, 1), ("20", 0.2, 1), ("30", 0.3, 1), ("half 10", 0.1, 0.6), ("half 20", 0.2, 0.6)]:
+        for i, words in enumerate(items):
+            words = words[: int(part * len(words)) + 1]
+            edited = [f"x{k}" if (k % 3 == 2 if change is None else rng.random() < change) else w for k, w in enumerate(words)]
+            cases[name, i] = " ".join(text(80) + edited + text(80))
+    others = [" ".join(text(300)) for _ in range(200)]
+    frequency = np.zeros(len(block.grams), np.int64)
+    every = [*cases.values(), *others]
+    for x in every:
+        frequency[np.unique(block.hits([x])[4])] += 1
+    leakage.choose_seeds(block, frequency, len(every))
+    found = {(number, item) for number, item, _ in leakage._search(block, every)}
+    for name in ("third", "10", "20", "30", "half 10", "half 20"):
+        mine = [n for n, key in enumerate(cases) if key[0] == name]
+        assert sum((n, list(cases)[n][1]) in found for n in mine) >= 0.9 * len(mine), name
+    assert not [x for x in found if x[0] >= len(cases)]
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(1, PASSAGE), (2, OTHER)], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a", PASSAGE), (2, "b", OTHER), (3, "c", "one two three four five six seven")], "eval_id long, eval_name string, text string")
-    monkeypatch.setattr(leakage, "BLOCK", 1)
+    monkeypatch.setattr(leakage, "WORDS", 1)
     assert sorted((r.doc_id, r.eval_id) for r in leakage.find_leaks(docs, items).collect()) == [(1, 1), (2, 2)]
     assert leakage.find_leaks(docs, items.limit(0)).count() == 0
 
