@@ -50,7 +50,7 @@ FILTER = 22
 _WORD = re.compile(r"[^\W_]+")
 _BROKEN = re.compile(r"(?<=\w)[-‐¬­][ \t\r]*\n\s*(?=[^\W\d_])")
 _SOFT = re.compile("[­​‌‍⁠﻿]")
-_CUES = re.compile(r"^\s*(?:\d+\s*\n\s*)?\d{1,2}:\d\d(?::\d\d)?[,.]\d+\s*-->.*$|<[^<>\n]{1,60}>|&(?:[a-z]{2,6}|#\d+);", re.M | re.I)
+_CUES = re.compile(r"^\s*(?:\d+\s*\n\s*)?\d{1,2}:\d\d(?::\d\d)?[,.]\d+\s*-->.*$|<[^<>\n]+>|&(?:[a-z]{2,6}|#\d+);", re.M | re.I)
 
 
 def words_of(text: str) -> list[str]:

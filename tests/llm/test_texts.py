@@ -293,7 +293,7 @@ def test_alignment_equals_brute_force():
 
 
 def test_recall_by_rate_of_edits():
-    """Whole copies with every third word changed, or up to 30 % of the words at random places, are found; half copies up to 20 %."""
+    """Found are whole copies with every third word changed or up to 30 % of the words at random places, copies of 75 % up to 20 % and of 60 % up to 10 %."""
     import random
 
     import numpy as np
@@ -307,7 +307,7 @@ def test_recall_by_rate_of_edits():
     items = [text(rng.randint(60, 140)) for _ in range(40)]
     block = leakage.item_block([{"eval_id": i, "passage": " ".join(x)} for i, x in enumerate(items)])
     cases = {}
-    for name, change, part in [("third", None, 1), ("10", 0.1, 1), ("20", 0.2, 1), ("30", 0.3, 1), ("half 10", 0.1, 0.6), ("half 20", 0.2, 0.6)]:
+    for name, change, part in [("third", None, 1), ("10", 0.1, 1), ("20", 0.2, 1), ("30", 0.3, 1), ("60, 10", 0.1, 0.6), ("75, 20", 0.2, 0.75)]:
         for i, words in enumerate(items):
             words = words[: int(part * len(words)) + 1]
             edited = [f"x{k}" if (k % 3 == 2 if change is None else rng.random() < change) else w for k, w in enumerate(words)]
@@ -319,7 +319,7 @@ def test_recall_by_rate_of_edits():
         frequency[np.unique(block.hits([x])[4])] += 1
     leakage.choose_seeds(block, frequency, len(every))
     found = {(number, item) for number, item, _ in leakage._search(block, every)}
-    for name in ("third", "10", "20", "30", "half 10", "half 20"):
+    for name in ("third", "10", "20", "30", "60, 10", "75, 20"):
         mine = [n for n, key in enumerate(cases) if key[0] == name]
         assert sum((n, list(cases)[n][1]) in found for n in mine) >= 0.9 * len(mine), name
     assert not [x for x in found if x[0] >= len(cases)]
@@ -353,3 +353,20 @@ def test_subjects(spark):
     assert out[200] == {"law", "sport"} and not {201, 202, 203, 204} & set(out)
     none = subjects.mine_rules(documents, spark.createDataFrame([], "doc_id long, subject string"), areas)
     assert subjects.find_subjects(documents, none).count() == 0
+
+
+def test_calibration_of_evidence(spark):
+    import numpy as np
+
+    x = np.repeat(np.arange(12) * 0.5, 2)
+    y = np.tile([0.0, 1.0], 12)
+    chance = 1 / (1 + np.exp(-(1.5 * x - 2.0)))
+    n = 10_000 * np.where(y == 1, chance, 1 - chance)
+    slope, offset = subjects.logistic(x, y, n)
+    assert slope == pytest.approx(1.5, abs=0.01) and offset == pytest.approx(-2.0, abs=0.02)
+    # A word that is as often wrong as right on held-out documents tells nothing by itself.
+    rules = subjects.Rules(("law", "sport"), {"court": (0, 1.0), "judge": (0, 4.0)}, {})
+    rows = [("law", ["judge"], True)] * 60 + [("sport", ["court"], True)] * 40 + [("law", ["court"], True)] * 25
+    fitted = subjects.calibrated(rules, spark.createDataFrame(rows, "subject string, words array<string>, held_out boolean"))
+    assert fitted.subject(["court"]) is None and fitted.subject(["judge"]) == 0
+    assert subjects.calibrated(rules, spark.createDataFrame(rows[:0], "subject string, words array<string>, held_out boolean")) == rules
