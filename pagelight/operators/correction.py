@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pagelight.config import CorrectionSettings
 from pagelight.functions.chars import ASCII_TOKEN
-from pagelight.operators.joins import lookup_join
+from pagelight.operators.joins import bounded_rows, lookup_join
 from pagelight.operators.vocabulary import suggest
 from pagelight.session import pinned, spread
 
@@ -24,6 +24,7 @@ SHORT = 4
 CLEAR = 2
 
 _TOKEN = re.compile(ASCII_TOKEN)
+_TITLE = re.compile("[A-Z][a-z]*$")
 
 
 def correction_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -40,17 +41,13 @@ def correction_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
                 some = batch.slice(low, 512)
                 at, idx, token, start, end, opens = [], [], [], [], [], []
                 for i, value in enumerate(some.column(1).to_pylist()):
-                    last = 0
-                    for n, m in enumerate(_TOKEN.finditer(value)):
-                        before = value[last : m.start()].rstrip()
+                    for n, (m, first) in enumerate(_openings(value)):
                         at.append(i)
                         idx.append(n)
                         token.append(m[0])
                         start.append(m.start())
                         end.append(m.end())
-                        # Blank up to the token before (a letter), or up to the text's begin.
-                        opens.append(before[-1] in ".!?" if before else last == 0)
-                        last = m.end()
+                        opens.append(first)
                 columns = [pa.array(idx, pa.int32()), pa.array(token, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(opens, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(at, pa.int64())), *columns], [key, "idx", "token", "start_char", "end_char", "opens"])
 
@@ -160,6 +157,58 @@ def _gap(i: Column) -> Column:
     return F.substring(F.col("_text"), begin + 1, F.element_at("changes", i + 1)["start_char"] - begin)
 
 
+def _openings(value: str):
+    """(match, opens) of a text's tokens."""
+    last = 0
+    for m in _TOKEN.finditer(value):
+        before = value[last : m.start()].rstrip()
+        # Blank up to the token before (a letter), or up to the text's begin.
+        yield m, before[-1] in ".!?" if before else last == 0
+        last = m.end()
+
+
+def _distinct_tokens(df: DataFrame, text: str) -> DataFrame:
+    """(token, opens) of the texts, once for each batch of texts."""
+    good = F.col(text).isNotNull() & (F.instr(text, "\0") == 0)
+
+    def run(batches):
+        for batch in batches:
+            found = {(m[0], opens) for value in batch.column(0).to_pylist() for m, opens in _openings(value)}
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.bool_())], ["token", "opens"])
+
+    return spread(df.select(text).where(good)).mapInArrow(run, "token string, opens boolean")
+
+
 def correct_texts(df: DataFrame, key: str, text: str, vocabulary: DataFrame, settings: CorrectionSettings = CorrectionSettings()) -> DataFrame:
-    """(key, corrected_text)."""
-    return apply_corrections(df, key, text, correct(df, key, text, vocabulary, settings))
+    """(key, corrected_text): null texts and texts with NUL stay as they are.
+
+    The distinct tokens are corrected first. If few of them change (see
+    joins.BROADCAST_ROWS) those are sent to the tasks and the texts rewritten
+    in place, without any exchange of texts; else the changes are joined and
+    gathered by key, which must be unique then.
+    """
+    tokens = _distinct_tokens(df, text).distinct()
+    asked = tokens.where(skip_reason(F.col("token"), F.col("opens"), settings).isNull())
+    changed = bounded_rows(correct_tokens(asked, vocabulary, settings).where("changed").select("token", "corrected"))
+    if changed is None:
+        return apply_corrections(df, key, text, correct(df, key, text, vocabulary, settings))
+    table = df.sparkSession.sparkContext.broadcast({r["token"]: r["corrected"] for r in changed})
+    kind = df.schema[key].dataType.simpleString()
+
+    def rewrite(value: str | None) -> str | None:
+        if value is None or "\0" in value:
+            return value
+        out, last = [], 0
+        for m, opens in _openings(value):
+            # All rules for skipping but that on names look at the token alone, so a skipped one isn't in the table.
+            new = table.value.get(m[0])
+            if new is not None and (opens or not _TITLE.match(m[0])):
+                out += [value[last : m.start()], new]
+                last = m.end()
+        return "".join([*out, value[last:]]) if out else value
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(rewrite, batch.column(1).to_pylist()), pa.string())], [key, "corrected_text"])
+
+    return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, corrected_text string")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from pagelight.config import TranslationSettings
 from pagelight.functions.chars import strip_ws
-from pagelight.operators.tokens import lemmatize, normalized_tokens
+from pagelight.operators.joins import lookup_join
+from pagelight.operators.tokens import bounded_lemmas, lemmatize, normalized_tokens, with_tokens
 from pagelight.session import pinned
 
 
@@ -27,11 +28,12 @@ def keyed_entries(entries: DataFrame, source: str, settings: TranslationSettings
     ord must be unique: it is the order in which entries were added.
     """
     rows = entries.select("ord", strip_ws(F.col(source)).alias(source), clean_translations(F.col("translations")).alias("translations"), F.coalesce("replace", F.lit(False)).alias("replace"))
-    tokens = normalized_tokens(rows, "ord", source, settings)
-    if lemmas is not None and settings.lemmatize_words:
-        flat = tokens.select("ord", F.inline("tokens")).withColumnRenamed("text", "_text")
-        flat = lemmatize(flat.withColumnRenamed("_text", "text"), lemmas)
-        tokens = flat.groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("idx", "text", "normalized", "start_char", "end_char", "token_type"))).alias("tokens"))
+    forms = bounded_lemmas(lemmas) if lemmas is not None and settings.lemmatize_words else {}
+    if forms is not None:
+        # One pass in which all columns ride along.
+        return with_tokens(rows, source, settings, lemmas=forms)
+    flat = lemmatize(with_tokens(rows, source, settings).select("ord", F.inline("tokens")), lemmas)
+    tokens = flat.groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("idx", "text", "normalized", "start_char", "end_char", "token_type"))).alias("tokens"))
     return rows.join(tokens, "ord", "left")
 
 
@@ -56,8 +58,9 @@ def merge_entries(keyed: DataFrame, key: str, source: str) -> DataFrame:
     source and appends the translations that are new. Only a key's entries meet
     in one task; the same translation of a key is kept once before they do.
     """
-    last = keyed.groupBy(key).agg(F.max(F.when(F.col("replace"), F.col("ord"))).alias("_last"))
-    live = keyed.join(last, key).where(F.col("_last").isNull() | (F.col("ord") >= F.col("_last")))
+    # Only keys that were replaced; a key may hold a third of all entries.
+    last = keyed.where("replace").groupBy(key).agg(F.max("ord").alias("_last"))
+    live = lookup_join(keyed, last, [key]).where(F.col("_last").isNull() | (F.col("ord") >= F.col("_last")))
     head = live.groupBy(key).agg(F.min_by(source, "ord").alias(source))
     each = live.select(key, "ord", F.posexplode("translations").alias("pos", "translation")).groupBy(key, "translation").agg(F.min(F.struct("ord", "pos")).alias("first"))
     merged = each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "translation"))), lambda x: x["translation"]).alias("translations"))

@@ -1,14 +1,16 @@
-"""Phrases in token sequences: n-gram join, then the leftmost longest ones."""
+"""Phrases in token sequences: one pass with few phrases, or an n-gram join and then the leftmost longest ones."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelight.config import TranslationSettings
-from pagelight.operators.joins import lookup_join
+from pagelight.operators.joins import bounded_rows, lookup_join
+from pagelight.operators.tokens import normalized_tokens, text_pass, tokens_of
 
 JOIN = "\u0001"
 
@@ -48,18 +50,75 @@ def match_at(candidates: DataFrame, key: str, settings: TranslationSettings = Tr
 def greedy_matches(candidates: DataFrame, key: str, settings: TranslationSettings = TranslationSettings()) -> DataFrame:
     """(key, start_idx, end_idx): matches from left to right; behind a match the search goes on at its end.
 
-    The fold runs over a text's sorted candidates, not over its tokens.
+    One pass over each text's sorted candidates, not over its tokens.
     """
     spans = match_at(candidates, key, settings).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start_idx", "n"))).alias("spans"))
-    kept = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<start_idx:int,end_idx:int>>").alias("kept")),
-        lambda acc, x: F.when(x["start_idx"] < acc["next"], acc).otherwise(
-            F.struct((x["start_idx"] + x["n"]).alias("next"), F.concat(acc["kept"], F.array(F.struct(x["start_idx"].alias("start_idx"), (x["start_idx"] + x["n"]).alias("end_idx")))).alias("kept"))
-        ),
-        lambda acc: acc["kept"],
-    )
-    return spans.select(key, F.inline(kept))
+    spans = spans.select(key, F.transform("spans", lambda x: x["start_idx"]).alias("starts"), F.transform("spans", lambda x: x["n"]).alias("sizes"))
+    kind = spans.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            row, begin, end = [], [], []
+            for i, (starts, sizes) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                free = 0
+                for start, n in zip(starts, sizes):
+                    if start >= free:
+                        free = start + n
+                        row.append(i)
+                        begin.append(start)
+                        end.append(free)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(begin, pa.int32()), pa.array(end, pa.int32())], [key, "start_idx", "end_idx"])
+
+    return spans.mapInArrow(run, f"`{key}` {kind}, start_idx int, end_idx int")
+
+
+class PhraseTable:
+    """A phrase dictionary small enough to be sent to all tasks: for each first token its phrases, longest first (or shortest)."""
+
+    def __init__(self, rows: list, settings: TranslationSettings):
+        self.by_first: dict[str, list[tuple[tuple[str, ...], list[str]]]] = {}
+        for row in rows:
+            words = tuple(row["normalized_tokens"])
+            if 2 <= len(words) <= settings.max_phrase_tokens:
+                self.by_first.setdefault(words[0], []).append((words, list(row["translations"])))
+        for found in self.by_first.values():
+            found.sort(key=lambda x: len(x[0]), reverse=settings.longest_match_first)
+
+    def spans(self, words: list[str]) -> list[tuple[int, int, list[str]]]:
+        """(begin, end, translations) from left to right; behind a match the search goes on at its end."""
+        out, at = [], 0
+        get = self.by_first.get
+        while at < len(words):
+            for phrase, translations in get(words[at], ()):
+                if tuple(words[at : at + len(phrase)]) == phrase:
+                    out.append((at, at + len(phrase), translations))
+                    at += len(phrase)
+                    break
+            else:
+                at += 1
+        return out
+
+
+def find_in_texts(df: DataFrame, key: str, text: str, phrases: DataFrame, settings: TranslationSettings = TranslationSettings(), limited: bool = True) -> DataFrame:
+    """(key, start_idx, end_idx, start_char, end_char, normalized_tokens, translations) of the greedy matches in texts.
+
+    Phrases that are few (see joins.BROADCAST_ROWS) are sent to the tasks and
+    the texts passed once; more are joined with n-grams (see find_phrases).
+    Texts that break a rule have no matches; the key must be unique for the join.
+    """
+    few = bounded_rows(phrases.select("normalized_tokens", "translations"))
+    names = ["start_idx", "end_idx", "start_char", "end_char", "normalized_tokens", "translations"]
+    if few is None:
+        found = find_phrases(normalized_tokens(df, key, text, settings, limited), phrases.select("normalized_tokens", "translations"), key, settings)
+        return found.select(key, *names)
+    table = df.sparkSession.sparkContext.broadcast(PhraseTable(few, settings))
+
+    def find(value):
+        tokens = tokens_of(value, settings)
+        words = [x[1] for x in tokens]
+        return [(a, b, tokens[a][2], tokens[b - 1][3], words[a:b], found) for a, b, found in table.value.spans(words)]
+
+    return text_pass(df, key, text, settings.max_input_characters if limited else None, find, dict(zip(names, [pa.int32()] * 4 + [pa.list_(pa.string())] * 2)))
 
 
 def find_phrases(tokens: DataFrame, phrases: DataFrame, key: str, settings: TranslationSettings = TranslationSettings()) -> DataFrame:

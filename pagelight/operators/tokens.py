@@ -10,14 +10,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagelight.config import TranslationSettings
 from pagelight.functions.chars import APOSTROPHES, ASCII_TOKEN, HYPHENS, TOKEN
-from pagelight.operators.joins import lookup_join
+from pagelight.operators.joins import bounded_rows, lookup_join
 from pagelight.session import spread
 
 # Python's own spelling of the token patterns. [^\W\d_] is what chars.WORD lists.
@@ -63,28 +65,34 @@ def tokens_of(text: str, settings: TranslationSettings = TranslationSettings())
     return out
 
 
-def _pass(df: DataFrame, key: str, text: str, limit: int | None, find, names: list[str], schema: str) -> DataFrame:
-    """Arrow pass that emits rows of find(text) with the row's key; texts that break a rule have none."""
+_SQL = {pa.int32(): "int", pa.string(): "string", pa.list_(pa.string()): "array<string>", pa.bool_(): "boolean"}
+
+
+def text_pass(df: DataFrame, key: str, text: str, limit: int | None, find, columns: dict[str, pa.DataType], numbered: str | None = None) -> DataFrame:
+    """Arrow pass that emits find(text)'s rows of the columns with the row's key; texts that break a rule have none.
+
+    numbered: a first column that numbers a text's rows from 0.
+    """
     kind = df.schema[key].dataType.simpleString()
     good = text_error(F.col(text), limit if limit is not None else 2**31 - 1).isNull()
+    types = ({numbered: pa.int32()} if numbered else {}) | columns
 
     def run(batches):
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 some = batch.slice(low, 512)
-                at, columns = [], [[] for _ in names]
+                at, number, values = [], [], [[] for _ in columns]
                 for i, value in enumerate(some.column(1).to_pylist()):
                     found = find(value)
                     at += [i] * len(found)
-                    columns[0] += range(len(found))
-                    for k, values in enumerate(zip(*found), 1):
-                        columns[k] += values
-                arrays = [some.column(0).take(pa.array(at, pa.int64()))]
-                for name, values in zip(names, columns):
-                    arrays.append(pa.array(values, pa.int32() if name in ("idx", "start_char", "end_char") else pa.string()))
-                yield pa.RecordBatch.from_arrays(arrays, [key, *names])
+                    number += range(len(found))
+                    for column, part in zip(values, zip(*found)):
+                        column += part
+                arrays = [pa.array(v, t) for v, t in zip([number] * bool(numbered) + values, types.values())]
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(at, pa.int64())), *arrays], [key, *types])
 
-    return spread(df.select(key, text).where(good)).mapInArrow(run, f"`{key}` {kind}, {schema}")
+    schema = ", ".join([f"`{key}` {kind}", *(f"{c} {_SQL[t]}" for c, t in types.items())])
+    return spread(df.select(key, text).where(good)).mapInArrow(run, schema)
 
 
 def tokenize(df: DataFrame, key: str, text: str, settings: TranslationSettings = TranslationSettings(), lemmas: DataFrame | None = None, limited: bool = True) -> DataFrame:
@@ -96,8 +104,8 @@ def tokenize(df: DataFrame, key: str, text: str, settings: TranslationSettings =
     none either. Repeated rows give repeated tokens. lemmas(form, lemma) is
     applied to words only, after case folding; forms it lacks stay.
     """
-    schema = "idx int, text string, normalized string, start_char int, end_char int, token_type string"
-    out = _pass(df, key, text, settings.max_input_characters if limited else None, lambda x: tokens_of(x, settings), ["idx", "text", "normalized", "start_char", "end_char", "token_type"], schema)
+    columns = {"text": pa.string(), "normalized": pa.string(), "start_char": pa.int32(), "end_char": pa.int32(), "token_type": pa.string()}
+    out = text_pass(df, key, text, settings.max_input_characters if limited else None, lambda x: tokens_of(x, settings), columns, "idx")
     return out if lemmas is None or not settings.lemmatize_words else lemmatize(out, lemmas)
 
 
@@ -109,27 +117,64 @@ def lemmatize(tokens: DataFrame, lemmas: DataFrame) -> DataFrame:
     return joined.withColumn("normalized", normal).select(tokens.columns)
 
 
+def bounded_lemmas(lemmas: DataFrame) -> dict[str, str] | None:
+    """form -> lemma if there are few; of several lemmas of a form the first in order."""
+    rows = bounded_rows(lemmas.where("form is not null and lemma is not null").groupBy("form").agg(F.min("lemma").alias("lemma")))
+    return None if rows is None else {r["form"]: r["lemma"] for r in rows}
+
+
 def ascii_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, idx, text, start_char, end_char): the corrector's own tokens, ASCII letters only."""
-    return _pass(df, key, text, None, lambda x: [(m[0], m.start(), m.end()) for m in _ASCII.finditer(x)], ["idx", "text", "start_char", "end_char"], "idx int, text string, start_char int, end_char int")
+    columns = {"text": pa.string(), "start_char": pa.int32(), "end_char": pa.int32()}
+    return text_pass(df, key, text, None, lambda x: [(m[0], m.start(), m.end()) for m in _ASCII.finditer(x)], columns, "idx")
 
 
-def normalized_tokens(df: DataFrame, key: str, text: str, settings: TranslationSettings = TranslationSettings(), limited: bool = True) -> DataFrame:
-    """(key, tokens array<struct>): tokenize, one row for each text; texts without tokens have an empty array."""
-    kind = df.schema[key].dataType.simpleString()
-    good = text_error(F.col(text), settings.max_input_characters if limited else 2**31 - 1).isNull()
-    struct = pa.struct([("idx", pa.int32()), ("text", pa.string()), ("normalized", pa.string()), ("start_char", pa.int32()), ("end_char", pa.int32()), ("token_type", pa.string())])
+_TOKEN_FIELDS = {"idx": pa.int32(), "text": pa.string(), "normalized": pa.string(), "start_char": pa.int32(), "end_char": pa.int32(), "token_type": pa.string()}
+
+
+def with_tokens(df: DataFrame, text: str, settings: TranslationSettings = TranslationSettings(), limited: bool = True, lemmas: dict[str, str] | None = None) -> DataFrame:
+    """df with tokens array<struct>, in one pass and with all columns; null where the text breaks a rule.
+
+    Texts without tokens have an empty array. lemmas (few, see
+    joins.bounded_rows) replace the words' normal forms. df has no column of
+    the name tokens.
+    """
+    limit = settings.max_input_characters if limited else 2**31 - 1
+    struct = pa.list_(pa.struct(list(_TOKEN_FIELDS.items())))
+    shared = df.sparkSession.sparkContext.broadcast(lemmas or {})
 
     def run(batches):
+        lemmas = shared.value
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 some = batch.slice(low, 256)
                 rows = []
-                for value in some.column(1).to_pylist():
-                    rows.append([{"idx": i, "text": a, "normalized": b, "start_char": c, "end_char": d, "token_type": e} for i, (a, b, c, d, e) in enumerate(tokens_of(value, settings))])
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(rows, pa.list_(struct))], [key, "tokens"])
+                for good, value in zip(some.column(some.num_columns - 1).to_pylist(), some.column(some.schema.get_field_index(text)).to_pylist()):
+                    found = tokens_of(value, settings) if good else ()
+                    rows.append([{"idx": i, "text": a, "normalized": lemmas.get(b, b) if e == "word" else b, "start_char": c, "end_char": d, "token_type": e} for i, (a, b, c, d, e) in enumerate(found)] if good else None)
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(rows, struct)], [*some.schema.names[:-1], "tokens"])
+
+    good = text_error(F.col(text), limit).isNull()
+    schema = T.StructType([*df.schema.fields, T.StructField("tokens", T._parse_datatype_string(f"array<{TOKEN_STRUCT}>"))])
+    return spread(df.withColumn("_good", good)).mapInArrow(run, schema)
+
+
+def normalized_tokens(df: DataFrame, key: str, text: str, settings: TranslationSettings = TranslationSettings(), limited: bool = True) -> DataFrame:
+    """(key, tokens array<struct>): tokenize, one row for each text that breaks no rule; texts without tokens have an empty array."""
+    good = text_error(F.col(text), settings.max_input_characters if limited else 2**31 - 1).isNull()
+    return with_tokens(df.select(key, text).where(good), text, settings, limited).select(key, "tokens")
+
+
+def token_counts(df: DataFrame, text: str, settings: TranslationSettings = TranslationSettings(), limited: bool = True) -> DataFrame:
+    """(normalized, token_type, n): how often each normal form occurs, added up within each batch of texts only."""
+    good = text_error(F.col(text), settings.max_input_characters if limited else 2**31 - 1).isNull()
+
+    def run(batches):
+        for batch in batches:
+            found = Counter((x[1], x[4]) for value in batch.column(0).to_pylist() for x in tokens_of(value, settings))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string()), pa.array(found.values(), pa.int64())], ["normalized", "token_type", "n"])
 
-    return spread(df.select(key, text).where(good)).mapInArrow(run, f"`{key}` {kind}, tokens array<{TOKEN_STRUCT}>")
+    return spread(df.select(text).where(good)).mapInArrow(run, "normalized string, token_type string, n long")
 
 
 def token_texts(text: Column) -> Column:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from pagelight.config import TranslationSettings
 from pagelight.operators.joins import bounded_rows, lookup_join
-from pagelight.operators.phrases import find_phrases
-from pagelight.operators.tokens import lemmatize, normalized_tokens, text_error, tokens_of
+from pagelight.operators.phrases import PhraseTable, find_phrases
+from pagelight.operators.tokens import bounded_lemmas, lemmatize, normalized_tokens, text_error, text_pass, tokens_of
 from pagelight.session import spread
 
 
@@ -24,33 +24,6 @@ def with_lemmas(tokens: DataFrame, key: str, lemmas: DataFrame) -> DataFrame:
     return flat.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "text", "normalized", "start_char", "end_char", "token_type"))).alias("tokens"))
 
 
-class PhraseTable:
-    """A phrase dictionary small enough to be sent to all tasks: for each first token its phrases, longest first (or shortest)."""
-
-    def __init__(self, rows: list, settings: TranslationSettings):
-        self.by_first: dict[str, list[tuple[tuple[str, ...], list[str]]]] = {}
-        for row in rows:
-            words = tuple(row["normalized_tokens"])
-            if 2 <= len(words) <= settings.max_phrase_tokens:
-                self.by_first.setdefault(words[0], []).append((words, list(row["translations"])))
-        for found in self.by_first.values():
-            found.sort(key=lambda x: len(x[0]), reverse=settings.longest_match_first)
-
-    def spans(self, words: list[str]) -> list[tuple[int, int, list[str]]]:
-        """(begin, end, translations) from left to right; behind a match the search goes on at its end."""
-        out, at = [], 0
-        get = self.by_first.get
-        while at < len(words):
-            for phrase, translations in get(words[at], ()):
-                if tuple(words[at : at + len(phrase)]) == phrase:
-                    out.append((at, at + len(phrase), translations))
-                    at += len(phrase)
-                    break
-            else:
-                at += 1
-        return out
-
-
 _ITEM = "source_text string, normalized_tokens array<string>, translations array<string>, item_type string, start_token_index int, end_token_index int, start_char int, end_char int"
 
 
@@ -136,9 +109,9 @@ def translation_items(
     """
     used = lemmas if settings.lemmatize_words else None
     few = bounded_rows(phrases.select("normalized_tokens", "translations"))
-    forms = bounded_rows(used.where("form is not null and lemma is not null").groupBy("form").agg(F.min("lemma").alias("lemma"))) if used is not None else []
+    forms = bounded_lemmas(used) if used is not None else {}
     if few is not None and forms is not None:
-        rows = _direct_items(df, key, text, few, {r["form"]: r["lemma"] for r in forms}, settings, limited)
+        rows = _direct_items(df, key, text, few, forms, settings, limited)
     else:
         rows = _joined_items(df, key, text, phrases, used, settings, limited)
     single = F.col("item_type") == "word"
@@ -164,6 +137,40 @@ def literal_translation(items: DataFrame, key: str) -> DataFrame:
     return shown.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["shown"]), " ").alias("literal_translation"))
 
 
+def translate_texts(
+    df: DataFrame, key: str, text: str, words: DataFrame, phrases: DataFrame, settings: TranslationSettings = TranslationSettings(), lemmas: DataFrame | None = None, limited: bool = True
+) -> DataFrame:
+    """(key, literal_translation) of every text that has a token; see translation_items.
+
+    With words, phrases and lemmas that are few the texts are passed once and
+    nothing is exchanged; else the items are made, joined and gathered.
+    """
+    used = lemmas if settings.lemmatize_words else None
+    first = display_text(F.col("translations"), F.lit(None).cast("string"))
+    shown = bounded_rows(words.select("normalized", first.alias("shown")).where("shown is not null"))
+    few = bounded_rows(phrases.select("normalized_tokens", "translations"))
+    forms = bounded_lemmas(used) if used is not None else {}
+    if shown is None or few is None or forms is None:
+        return literal_translation(translation_items(df, key, text, words, phrases, settings, lemmas, limited), key)
+    table = df.sparkSession.sparkContext.broadcast((PhraseTable(few, settings), forms, {r["normalized"]: r["shown"] for r in shown}))
+
+    def find(value):
+        many, forms, known = table.value
+        found = tokens_of(value, settings)
+        if not found:
+            return []
+        normal = [forms.get(n, n) if k == "word" else n for _, n, _, _, k in found] if forms else [x[1] for x in found]
+        place, out = 0, []
+        for begin, end, translations in [*many.spans(normal), (len(found), len(found), [])]:
+            out += [known.get(normal[k], found[k][0]) if found[k][4] == "word" else found[k][0] for k in range(place, begin)]
+            if end > begin:
+                out.append(translations[0] if translations and translations[0] else value[found[begin][2] : found[end - 1][3]])
+            place = end
+        return [(" ".join(out),)]
+
+    return text_pass(df, key, text, settings.max_input_characters if limited else None, find, {"literal_translation": pa.string()})
+
+
 def translate_words(df: DataFrame, key: str, word: str, words: DataFrame, settings: TranslationSettings = TranslationSettings()) -> DataFrame:
     """(key, normalized, translations, item_type, error) of single words or numbers.
 

@@ -45,8 +45,8 @@ def tok_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tok_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each normal form occurs in the documents."""
-    rows = tokens.tokenize(table(spark, sf_dir, "documents"), "doc_id", "text", SETTINGS, limited=False)
-    return rows.groupBy("normalized", "token_type").agg(F.count(F.lit(1)).alias("n"))
+    rows = tokens.token_counts(table(spark, sf_dir, "documents"), "text", SETTINGS, limited=False)
+    return rows.groupBy("normalized", "token_type").agg(F.sum("n").alias("n"))
 
 
 def tok_drop_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +94,7 @@ def phrase_shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leftmost longest phrases that don't overlap."""
-    found = phrases.find_phrases(pinned(_document_tokens(spark, sf_dir)), pinned(_phrases(spark, sf_dir)), "doc_id", SETTINGS)
+    found = phrases.find_in_texts(table(spark, sf_dir, "documents"), "doc_id", "text", pinned(_phrases(spark, sf_dir)), SETTINGS, limited=False)
     return found.select("doc_id", "start_idx", "end_idx", "start_char", "end_char")
 
 
@@ -117,7 +117,8 @@ def dict_unknown_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dict_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents' literal translations."""
-    return translation.literal_translation(_document_items(spark, sf_dir), "doc_id")
+    words, many = pinned(_words(spark, sf_dir)), pinned(_phrases(spark, sf_dir))
+    return translation.translate_texts(table(spark, sf_dir, "documents"), "doc_id", "text", words, many, SETTINGS, limited=False)
 
 
 def correct_skip_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,8 +260,7 @@ def screen_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scanned pages corrected, then translated literally."""
     fixed = correct_text(spark, sf_dir)
     words, many = pinned(_words(spark, sf_dir)), pinned(_phrases(spark, sf_dir))
-    items = translation.translation_items(fixed, "result_id", "corrected_text", words, many, SETTINGS, limited=False)
-    return translation.literal_translation(items, "result_id")
+    return translation.translate_texts(fixed, "result_id", "corrected_text", words, many, SETTINGS, limited=False)
 
 
 def queries() -> dict[str, Query]:

@@ -11,8 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Behind an exchange, a table of less than this for each core is spread again.
-SMALL_BYTES = 4 << 20
+#: A table of less than this for each core is spread again: behind an exchange, and as it is read.
+SMALL_BYTES, READ_BYTES = 4 << 20, 64 << 20
 _shipped: set[str] = set()
 
 
@@ -69,17 +69,19 @@ def pinned(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` on at least as many tasks as there are cores.
+    """``df`` on at least as many tasks as there are cores, if it is small.
 
     A table that is one small file would otherwise be a single task for the
-    Python passes. Tables of more files or blocks than cores, all large ones
-    that is, stay as they are and are not shuffled; neither are streams.
+    Python passes. Tables of more files or blocks than cores, and all of more
+    than READ_BYTES for each core, stay as they are and are not shuffled;
+    neither are streams.
     """
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
     if re.search(r"^[\s:+-]*(?:Aggregate|Join|Sort|Window|Repartition|Deduplicate|Distinct|Union|Generate)", plan.toString(), re.M):
         # Counting the partitions behind an exchange would run it; what is estimated to be small is spread.
-        return df.repartition(cores) if int(str(plan.stats().sizeInBytes())) < cores * SMALL_BYTES else df
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+        return df.repartition(cores) if size < cores * SMALL_BYTES else df
+    return df.repartition(cores) if size < cores * READ_BYTES and df.rdd.getNumPartitions() < cores else df

@@ -73,7 +73,7 @@ def test_longest_and_shortest(spark):
     short = phrases.find_phrases(token_rows, many, "id", TranslationSettings(longest_match_first=False)).collect()
     assert sorted((r.id, r.start_idx, r.end_idx) for r in short) == [(1, 3, 5), (2, 0, 2)]
     assert phrases.find_phrases(token_rows, many.limit(0), "id").count() == 0
-    table = translation.PhraseTable(many.collect(), TranslationSettings())
+    table = phrases.PhraseTable(many.collect(), TranslationSettings())
     assert [s[:2] for s in table.spans(["a", "cold", "iron", "bridge", "cold", "iron"])] == [(1, 4), (4, 6)]
 
 
