@@ -1,4 +1,7 @@
-"""Settings of the operators; each is frozen and checked when it is made."""
+"""Settings of the operators; each is frozen and checked when it is made.
+
+The names' defaults are fixed values that the results depend on.
+"""
 
 from __future__ import annotations
 
@@ -53,6 +56,7 @@ class CorrectionSettings:
     prefix_length: int = 7
     max_lookup_edit_distance: int = 2
     max_suggestions: int = 5
+    #: Tokens without any candidate are suggested as they are, behind the greatest distance.
     include_unknown: bool = False
     transfer_casing: bool = True
     min_candidate_frequency: int = 1
@@ -133,6 +137,8 @@ class RecognitionSettings:
     detection_model: str = "PP-OCRv5_mobile_det"
     recognition_model: str = "en_PP-OCRv5_mobile_rec"
     device: str = "auto"
+    engine: str = "paddle_static"
+    enable_mkldnn: bool = False
     cpu_threads: int = field(default_factory=_threads)
     side_limit: int = 640
     limit_type: str = "max"
@@ -186,11 +192,13 @@ class NeuralSettings:
     length_penalty: float = 1.0
     early_stopping: bool = True
     local_files_only: bool = False
+    #: Texts that the model is given at once.
+    batch_texts: int = 16
 
     def __post_init__(self) -> None:
         _check(bool(self.model_name.strip()), "model_name must not be blank")
         _check(self.device in ("auto", "cpu", "gpu"), "device must be auto, cpu or gpu")
         _check(1 <= self.max_input_tokens <= 512, "max_input_tokens must lie in 1..512")
-        for name in ("max_input_characters", "max_new_tokens", "num_beams"):
+        for name in ("max_input_characters", "max_new_tokens", "num_beams", "batch_texts"):
             _check(getattr(self, name) >= 1, f"{name} must be at least 1")
         _check(self.length_penalty > 0, "length_penalty must be positive")

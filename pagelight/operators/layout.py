@@ -2,27 +2,72 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelight.config import LayoutSettings
 from pagelight.functions.chars import strip_ws
+from pagelight.operators.recognition import predict, valid_images
+from pagelight.session import pinned
 
 RAW_BOX = "struct<label:string,cls_id:string,score:string,coordinate:array<string>>"
 
 
+_BOXES = f"struct<boxes:array<{RAW_BOX}>>"
+
+
+def payload_error(payload: Column) -> Column:
+    """Why a payload has no boxes to read: no_payload, not_json, bad_result, bad_boxes; null for a good one.
+
+    Where res is there it must hold the boxes; the top level counts only
+    without it. No boxes at all are an empty list.
+    """
+    whole = F.try_parse_json(payload)
+    inner = F.variant_get(whole, "$.res", "variant")
+    kind = F.schema_of_variant
+    has = F.coalesce(F.json_object_keys(payload), F.array())
+    body = F.when(F.array_contains(has, "res"), inner).otherwise(whole)
+    boxes = F.variant_get(body, "$.boxes", "variant")
+    is_object = lambda x: F.coalesce(kind(x).startswith("OBJECT"), F.lit(False))
+    return (
+        F.when(payload.isNull(), "no_payload")
+        .when(whole.isNull() | ~is_object(whole), "not_json")
+        .when(~is_object(body), "bad_result")
+        .when(boxes.isNotNull() & ~F.coalesce(kind(boxes).startswith("ARRAY"), F.lit(False)), "bad_boxes")
+    )
+
+
 def decode_boxes(df: DataFrame, key: str, payload: str, *keep: str) -> DataFrame:
-    """(key, keep.., box_no, label, cls_id, score, coordinate) of JSON payloads with boxes at the top or under res.
+    """(key, keep.., box_no, label, cls_id, score, coordinate) of JSON payloads with boxes under res, or at the top without res.
 
-    Values stay strings, as lenient as the detector; a payload that is no JSON
-    object, or has no list of boxes, has no rows.
+    Values stay strings, as lenient as the detector; a payload that has no list
+    of boxes to read has no rows (see payload_error).
     """
-    parsed = F.from_json(payload, f"struct<res:struct<boxes:array<{RAW_BOX}>>,boxes:array<{RAW_BOX}>>")
-    boxes = F.coalesce(parsed["res"]["boxes"], parsed["boxes"])
+    has = F.coalesce(F.json_object_keys(payload), F.array())
+    boxes = F.when(F.array_contains(has, "res"), F.from_json(payload, f"struct<res:{_BOXES}>")["res"]["boxes"]).otherwise(F.from_json(payload, _BOXES)["boxes"])
     rows = df.select(key, *keep, F.posexplode(boxes).alias("box_no", "box")).where("box is not null")
     return rows.select(key, *keep, "box_no", *[F.col("box")[c].alias(c) for c in ("label", "cls_id", "score", "coordinate")])
 
 
+def detect(df: DataFrame, key: str, factory: Callable[[], Any], settings: LayoutSettings = LayoutSettings(), image: str = "image") -> tuple[DataFrame, DataFrame]:
+    """The regions of Spark images by a model, and (key, error) of the images that have none for an error.
+
+    Regions: key, box_no, x1, y1, x2, y2, label, raw_label, class_id,
+    confidence, and pos, the reading order, if the settings sort by position.
+    """
+    checked = valid_images(df, settings, image)
+    sized = checked.where("error is null").select(key, F.col(image)["width"].alias("image_width"), F.col(image)["height"].alias("image_height"))
+    found = pinned(predict(checked.where("error is null"), key, [image], factory))
+    errors = checked.where("error is not null").select(key, "error").unionByName(found.select(key, payload_error(F.col("payload")).alias("error")).where("error is not null"))
+    good = found.where(payload_error(F.col("payload")).isNull())
+    boxes = decode_boxes(good, key, "payload").select(key, "box_no", "label", "cls_id", "score", *[F.get("coordinate", F.lit(i)).alias(f"c{i}") for i in range(4)])
+    regions = normalize_boxes(boxes.join(sized, key), "label", "cls_id", "score", [f"c{i}" for i in range(4)], "image_width", "image_height", settings).drop("image_width", "image_height")
+    return (reading_order(regions, key, "box_no") if settings.sort_regions_by_position else regions), errors
+
+
 def safe_number(value: Column) -> Column:
     """The finite number, else 0."""
     number = value.try_cast("double")

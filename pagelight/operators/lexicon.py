@@ -89,3 +89,11 @@ def contains_words(words: DataFrame, lexicon: DataFrame, word: str = "word") ->
     one = F.when(F.size("tokens") == 1, F.col("tokens")[0]["normalized"])
     tokens = normalized_tokens(asked, "asked", "text").select(F.col("asked").alias(word), one.alias("normalized"))
     return tokens.join(lexicon.select("normalized", F.lit(True).alias("present")), "normalized", "left").select(word, F.coalesce("present", F.lit(False)).alias("present"))
+
+
+def get_phrases(phrases: DataFrame, lexicon: DataFrame, phrase: str = "phrase", settings: TranslationSettings = TranslationSettings()) -> DataFrame:
+    """(phrase, translations, present): what the lexicon has for each distinct phrase, by its normal tokens; an empty array for none."""
+    asked = phrases.select(phrase).where(F.col(phrase).isNotNull()).distinct()
+    tokens = with_tokens(asked, phrase, settings).select(phrase, F.transform("tokens", lambda t: t["normalized"]).alias("normalized_tokens"))
+    found = lookup_join(tokens, lexicon.select("normalized_tokens", "translations"), ["normalized_tokens"])
+    return found.select(phrase, F.coalesce("translations", F.array().cast("array<string>")).alias("translations"), F.col("translations").isNotNull().alias("present"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelight.config import LayoutSettings, RecognitionSettings
+from pagelight.session import spread
 
 #: OpenCV's number for three channels of eight bits, as Spark's image source gives it.
 CV_8UC3 = 16
@@ -56,7 +57,7 @@ def predict(df: DataFrame, key: str, columns: list[str], factory: Callable[[], A
                 model = factory()
             yield pd.DataFrame({key: part[key], "payload": model.predict(part)})
 
-    return df.select(key, *columns).mapInPandas(run, f"`{key}` {kind}, payload string")
+    return spread(df.select(key, *columns)).mapInPandas(run, f"`{key}` {kind}, payload string")
 
 
 class EchoBackend:
@@ -71,28 +72,11 @@ class EchoBackend:
         return [json.dumps({"res": {"rec_texts": [x], "rec_scores": [1.0], "rec_boxes": [[0, 0, 1, 1]]}}) for x in rows[self.column]]
 
 
-def paddle_backend(settings: RecognitionSettings) -> Callable[[], Any]:
-    """A factory for the recognition models; they are looked for only when a task starts."""
-
-    def make():
-        try:
-            from paddleocr import PaddleOCR
-        except ImportError as error:
-            raise RuntimeError("the recognition models are not installed") from error
-        return PaddleOCR(
-            text_detection_model_name=settings.detection_model,
-            text_recognition_model_name=settings.recognition_model,
-            device=None if settings.device == "auto" else settings.device,
-            text_det_limit_side_len=settings.side_limit,
-            text_det_limit_type=settings.limit_type,
-            text_det_thresh=settings.detection_threshold,
-            text_det_box_thresh=settings.box_threshold,
-            text_det_unclip_ratio=settings.unclip_ratio,
-            text_recognition_batch_size=settings.recognition_batch_size,
-            text_rec_score_thresh=settings.recognition_score_threshold,
-        )
-
-    return make
+def recognise(df: DataFrame, key: str, factory: Callable[[], Any], settings: RecognitionSettings = RecognitionSettings(), image: str = "image") -> tuple[DataFrame, DataFrame]:
+    """((key, line_no, text, score, box), (key, error)): the lines of the good images, and why the others have none."""
+    checked = valid_images(df, settings, image)
+    lines = flatten_lines(predict(checked.where("error is null"), key, [image], factory), key, "payload")
+    return lines, checked.where("error is not null").select(key, "error")
 
 
 def flatten_lines(df: DataFrame, key: str, payload: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelight.config import TranslationSettings
-from pagelight.functions.chars import APOSTROPHES, ASCII_TOKEN, HYPHENS, TOKEN
+from pagelight.functions.chars import APOSTROPHES, ASCII_TOKEN, HYPHENS, TOKEN, WS
 from pagelight.operators.joins import bounded_rows, lookup_join
 from pagelight.session import spread
 
@@ -35,6 +35,16 @@ def text_error(text: Column, limit: int) -> Column:
     return F.when(text.isNull(), "null_text").when(F.instr(text, "\0") > 0, "nul_character").when(F.char_length(text) > limit, "too_long")
 
 
+def token_error(token: Column, settings: TranslationSettings = TranslationSettings()) -> Column:
+    """The first rule that a single token breaks: null_token, empty_token, white_space, too_long; null for a good one."""
+    return (
+        F.when(token.isNull(), "null_token")
+        .when(token == "", "empty_token")
+        .when(token.rlike(f"[{WS}]"), "white_space")
+        .when(F.char_length(token) > settings.max_token_characters, "too_long")
+    )
+
+
 def normalize_token(token: str, settings: TranslationSettings = TranslationSettings()) -> str:
     """Unicode form, then apostrophes, hyphens and case; lemmas are looked up afterwards."""
     token = unicodedata.normalize(settings.unicode_normalization, token)

@@ -11,30 +11,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelight.config import CorrectionSettings
-from pagelight.functions.chars import strip_ws
+from pagelight.functions.chars import fold_text, strip_ws
 from pagelight.functions.distance import osa_distance
 
 
+def _folded(column: Column) -> Column:
+    """Full case folding, which for ASCII is lower case."""
+    return fold_text(column, form="", casefold=True)
+
+
 def frequency_table(terms: DataFrame, term: str = "term", frequency: str = "frequency", settings: CorrectionSettings = CorrectionSettings()) -> DataFrame:
     """(term, frequency): stripped and lowered terms, the counts of a term's rows added up.
 
     Null and blank terms and null counts go; so do terms with white space
     inside, and terms below count_threshold in all.
     """
-    rows = terms.select(strip_ws(F.lower(F.col(term))).alias("term"), F.col(frequency).cast("long").alias("frequency"))
+    rows = terms.select(strip_ws(_folded(F.col(term))).alias("term"), F.col(frequency).cast("long").alias("frequency"))
     rows = rows.where(r"term <> '' and frequency is not null and not term rlike '\\s'")
     return rows.groupBy("term").agg(F.sum("frequency").alias("frequency")).where(F.col("frequency") >= settings.count_threshold)
 
 
 def add_words(vocabulary: DataFrame, words: DataFrame) -> DataFrame:
     """The vocabulary with (term, frequency) added: counts of terms that it has grow."""
-    more = words.select(F.lower(strip_ws(F.col("term"))).alias("term"), F.greatest(F.col("frequency").cast("long"), F.lit(1)).alias("frequency"))
+    more = words.select(_folded(strip_ws(F.col("term"))).alias("term"), F.greatest(F.col("frequency").cast("long"), F.lit(1)).alias("frequency"))
     return vocabulary.select("term", "frequency").unionByName(more).groupBy("term").agg(F.sum("frequency").alias("frequency"))
 
 
 def contains(tokens: DataFrame, vocabulary: DataFrame, token: str = "token") -> DataFrame:
     """(token, frequency, present) of each distinct token; frequency is 0 for an absent one."""
-    asked = tokens.select(token).where(F.col(token).isNotNull()).distinct().withColumn("term", F.lower(F.col(token)))
+    asked = tokens.select(token).where(F.col(token).isNotNull()).distinct().withColumn("term", _folded(F.col(token)))
     found = asked.join(vocabulary, "term", "left")
     return found.select(token, F.coalesce("frequency", F.lit(0)).alias("frequency"), F.col("frequency").isNotNull().alias("present"))
 
@@ -56,6 +61,9 @@ def delete_keys(word: Column, settings: CorrectionSettings = CorrectionSettings(
 def suggest(tokens: DataFrame, vocabulary: DataFrame, settings: CorrectionSettings = CorrectionSettings(), token: str = "token", most: Column | None = None) -> DataFrame:
     """(token, term, distance, frequency, place): of each distinct token the best max_suggestions terms.
 
+    include_unknown: a token without any is given itself, of a distance one
+    beyond the greatest and of frequency 0.
+
     Order: distance, then the higher frequency, then the term. `most` is a
     column expression over the token for its greatest distance (by default the
     settings' lookup distance). Tokens are compared case-folded; a token of the
@@ -64,7 +72,7 @@ def suggest(tokens: DataFrame, vocabulary: DataFrame, settings: CorrectionSettin
     """
     limit = F.lit(settings.max_lookup_edit_distance) if most is None else most
     asked = tokens.select(token).where(F.col(token).isNotNull()).distinct()
-    asked = asked.withColumn("word", F.lower(strip_ws(F.col(token)))).where((F.length("word") > 0) & (F.length("word") <= settings.max_token_length))
+    asked = asked.withColumn("word", _folded(strip_ws(F.col(token)))).where((F.length("word") > 0) & (F.length("word") <= settings.max_token_length))
     near = asked.select("word").distinct().select("word", F.explode(delete_keys(F.col("word"), settings)).alias("key"))
     terms = vocabulary.where(F.col("frequency") >= settings.min_candidate_frequency)
     goal = terms.select("term", F.explode(delete_keys(F.col("term"), settings)).alias("key"))
@@ -72,4 +80,8 @@ def suggest(tokens: DataFrame, vocabulary: DataFrame, settings: CorrectionSettin
     pairs = pairs.withColumn("distance", osa_distance(F.col("word"), F.col("term"), settings.max_lookup_edit_distance)).where("distance is not null")
     found = pairs.join(terms, "term").join(asked, "word").where(F.col("distance") <= limit)
     place = F.row_number().over(Window.partitionBy(token).orderBy("distance", F.desc("frequency"), "term"))
-    return found.withColumn("place", place).where(F.col("place") <= settings.max_suggestions).select(token, "term", "distance", "frequency", "place")
+    out = found.withColumn("place", place).where(F.col("place") <= settings.max_suggestions).select(token, "term", "distance", "frequency", "place")
+    if not settings.include_unknown:
+        return out
+    rest = asked.join(out.select(token).distinct(), token, "left_anti")
+    return out.unionByName(rest.select(token, F.col("word").alias("term"), (limit + 1).cast("int").alias("distance"), F.lit(0).cast("long").alias("frequency"), F.lit(1).alias("place")))

@@ -66,11 +66,48 @@ def corpus_frequencies(df: DataFrame, text: str, least: int = 5) -> DataFrame:
     return words.groupBy("term").agg(F.count(F.lit(1)).alias("frequency")).where(F.col("frequency") >= least)
 
 
+def load_vocabulary(spark: SparkSession, settings: CorrectionSettings = CorrectionSettings(), supplied: DataFrame | None = None) -> DataFrame:
+    """(term, frequency, dictionary_source): the file that the settings name, else the supplied table; an error if it is empty."""
+    if settings.dictionary_path is not None:
+        return read_frequencies(spark, settings.dictionary_path, settings)
+    if supplied is None or supplied.isEmpty():
+        raise DictionaryLoadError("no dictionary is named or supplied, or it holds no term")
+    return supplied.select("term", "frequency", F.lit("supplied").alias("dictionary_source"))
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """Images of a folder in Spark's image struct; files that are no image have nulls in it."""
     return spark.read.format("image").option("dropInvalid", False).load(path)
 
 
+def images_of(spark: SparkSession, arrays: list[tuple[int, object]]) -> DataFrame:
+    """(id, image) of arrays of height x width x 3 bytes in memory, in Spark's image struct."""
+    rows = [(key, ("", a.shape[0], a.shape[1], a.shape[2], 16, bytearray(a.tobytes()))) for key, a in arrays]
+    return spark.createDataFrame(rows, "id long, image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>")
+
+
+def write_images(df: DataFrame, key: str, payload: str, folder: str) -> DataFrame:
+    """(key, path): binary images written one file each to a shared folder, as results to look at.
+
+    A task that runs again writes the same files again.
+    """
+    from pathlib import Path
+
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(parts):
+        for part in parts:
+            paths = []
+            for k, data in zip(part[key], part[payload]):
+                target = Path(folder.removeprefix("file://"), f"{k}.png")
+                target.parent.mkdir(parents=True, exist_ok=True)
+                target.write_bytes(bytes(data))
+                paths.append(str(target))
+            yield part[[key]].assign(path=paths)
+
+    return df.where(F.col(payload).isNotNull()).select(key, payload).mapInPandas(run, f"`{key}` {kind}, path string")
+
+
 def write_results(df: DataFrame, path: str, mode: str = "error") -> None:
     """Region, line and item tables as Parquet."""
     df.write.mode(mode).parquet(path)

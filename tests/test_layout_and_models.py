@@ -3,8 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from pagelight.config import LayoutSettings, NeuralSettings, RecognitionSettings, TranslationSettings
-from pagelight.operators import layout, neural, recognition
+from pagelight.config import CorrectionSettings, LayoutSettings, NeuralSettings, RecognitionSettings, TranslationSettings
+from pagelight.operators import backends, layout, neural, recognition
 from pagelight.sources import dictionaries
 
 
@@ -121,3 +121,106 @@ def test_dictionary_files(spark, tmp_path):
     (tmp_path / "e.txt").write_text("")
     with pytest.raises(dictionaries.DictionaryLoadError):
         dictionaries.read_frequencies(spark, str(tmp_path / "e.txt"))
+
+
+@pytest.fixture
+def models(monkeypatch, tmp_path):
+    """Stand-ins for the models' packages, found by the tasks' Python as well."""
+    (tmp_path / "paddleocr.py").write_text(
+        "import json\n"
+        "class Result:\n"
+        "    def __init__(self, body): self.json = body\n"
+        "class PaddleOCR:\n"
+        "    def __init__(self, **options): self.options = options; assert options['use_doc_unwarping'] is False\n"
+        "    def predict(self, image): return [Result({'res': {'rec_texts': [f'{image.shape[1]}x{image.shape[0]}'], 'rec_scores': [0.5], 'rec_boxes': [[0, 0, 1, 1]]}})]\n"
+        "class LayoutDetection:\n"
+        "    def __init__(self, **options): self.options = options; assert options['model_name'] == 'PP-DocLayout-M'\n"
+        "    def predict(self, input, batch_size, threshold, layout_nms):\n"
+        "        if input.shape[0] == 99: return []\n"
+        "        boxes = [{'label': 'text', 'cls_id': 2, 'score': 0.9, 'coordinate': [5, 50, 20, 60]}, {'label': 'doc_title', 'cls_id': 11, 'score': 0.8, 'coordinate': [5, 1, 20, 9]}, {'label': 'text', 'cls_id': 2, 'score': threshold / 2, 'coordinate': [0, 0, 9, 9]}]\n"
+        "        return [Result(lambda: json.dumps({'res': {'boxes': boxes}})), Result({'boxes': []})]\n"
+    )
+    (tmp_path / "torch.py").write_text(
+        "import contextlib\n"
+        "class cuda:\n"
+        "    is_available = staticmethod(lambda: False)\n"
+        "device = str\n"
+        "inference_mode = contextlib.nullcontext\n"
+    )
+    (tmp_path / "transformers.py").write_text(
+        "class Part(list):\n"
+        "    def to(self, device): return self\n"
+        "class AutoTokenizer:\n"
+        "    @classmethod\n"
+        "    def from_pretrained(cls, name, local_files_only): return cls()\n"
+        "    def __call__(self, texts, **options): return {'input_ids': Part(' '.join(x.split()[: options['max_length']]) for x in texts)}\n"
+        "    def batch_decode(self, made, **options): return made\n"
+        "class AutoModelForSeq2SeqLM:\n"
+        "    @classmethod\n"
+        "    def from_pretrained(cls, name, local_files_only): return cls()\n"
+        "    def to(self, device): pass\n"
+        "    def eval(self): pass\n"
+        "    def generate(self, input_ids, num_beams, **options): return [f'{num_beams} {x.upper()}' for x in input_ids]\n"
+    )
+    return str(tmp_path)
+
+
+def _with_path(folder, factory):
+    def make():
+        import sys
+
+        sys.path.insert(0, folder)
+        try:
+            return factory()
+        finally:
+            sys.path.remove(folder)
+
+    return make
+
+
+def test_backends(spark, models):
+    import numpy as np
+
+    images = dictionaries.images_of(spark, [(1, np.zeros((70, 40, 3), np.uint8)), (2, np.zeros((99, 40, 3), np.uint8)), (3, np.zeros((5, 40, 3), np.uint8))])
+    lines, errors = recognition.recognise(images, "id", _with_path(models, backends.recognition_backend()))
+    assert sorted((r.id, r.text) for r in lines.collect()) == [(1, "40x70"), (2, "40x99")]
+    assert [(r.id, r.error) for r in errors.collect()] == [(3, "too_low")]
+    regions, errors = layout.detect(images, "id", _with_path(models, backends.layout_backend()))
+    assert [(r.id, r.pos, r.label, r.y1) for r in regions.orderBy("pos").collect()] == [(1, 0, "title", 1), (1, 1, "paragraph", 50)]
+    assert [r.id for r in errors.collect()] == [3]
+    texts = spark.createDataFrame([(i, f"line {i} of it") for i in range(40)], "id long, text string")
+    out = neural.translate(texts, "id", "text", _with_path(models, backends.neural_backend(NeuralSettings(max_input_tokens=3)))).collect()
+    assert {r.id: r.translated_text for r in out} == {i: f"2 >>VIE<< LINE {i}" for i in range(40)}
+
+
+def test_missing_models():
+    for make in (backends.recognition_backend(), backends.layout_backend(), backends.neural_backend()):
+        with pytest.raises(backends.ModelLoadError):
+            make()
+
+
+def test_payload_errors(spark):
+    rows = [(0, None), (1, "no json"), (2, "[1]"), (3, '{"res": 5, "boxes": []}'), (4, '{"res": {"boxes": 7}}'), (5, '{"res": {}, "boxes": [{"label": "text"}]}'), (6, '{"boxes": [{"label": "text"}]}')]
+    df = spark.createDataFrame(rows, "id long, payload string")
+    error = {r.id: r.e for r in df.select("id", layout.payload_error(F.col("payload")).alias("e")).collect()}
+    assert error == {0: "no_payload", 1: "not_json", 2: "not_json", 3: "bad_result", 4: "bad_boxes", 5: None, 6: None}
+    # With res at hand the top level doesn't count.
+    assert [r.id for r in layout.decode_boxes(df, "id", "payload").collect()] == [6]
+
+
+def test_vocabulary_by_setting(spark, tmp_path):
+    (tmp_path / "f.txt").write_text("the 5\n")
+    named = dictionaries.load_vocabulary(spark, CorrectionSettings(dictionary_path=str(tmp_path / "f.txt")))
+    supplied = spark.createDataFrame([("a", 1)], "term string, frequency long")
+    assert named.first().term == "the" and dictionaries.load_vocabulary(spark, supplied=supplied).first().dictionary_source == "supplied"
+    for none in (None, supplied.limit(0)):
+        with pytest.raises(dictionaries.DictionaryLoadError):
+            dictionaries.load_vocabulary(spark, supplied=none)
+    found = dictionaries.corpus_frequencies(spark.createDataFrame([("Red boat, red net",), ("red",), (None,)], "text string"), "text", least=2)
+    assert [(r.term, r.frequency) for r in found.collect()] == [("red", 3)]
+
+
+def test_image_files(spark, tmp_path):
+    rows = spark.createDataFrame([(1, bytearray(b"abc")), (2, None)], "id long, data binary")
+    out = dictionaries.write_images(rows, "id", "data", str(tmp_path / "out")).collect()
+    assert [r.id for r in out] == [1] and (tmp_path / "out" / "1.png").read_bytes() == b"abc"
