@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pagelight.config import LABEL_MAP, RAW_LABELS
-from pagelight.functions.chars import APOSTROPHES, ASCII_TOKEN, HYPHENS, TOKEN, WORD
-
+# Fixed values, stated here once more: the token patterns, and characters folded to apostrophe and hyphen.
+WORD = r"[\p{L}\p{Nl}\p{No}]+(?:['’\-‐-‒–—−][\p{L}\p{Nl}\p{No}]+)*"
+TOKEN = WORD + r"|\p{Nd}+(?:[.,:/\-]\p{Nd}+)*"
+ASCII_TOKEN = r"[A-Za-z]+(?:['’\-][A-Za-z]+)*"
+APOSTROPHES, HYPHENS = "’‘‛ʼ", "‐‒–—−"
 # RE2's spelling of Python's white space.
 _WS = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _HYPHENS = "".join(sorted(HYPHENS))
@@ -123,12 +125,18 @@ _CORRECT = f"""WITH ocr AS MATERIALIZED (SELECT *, {_SKIP} AS skipped FROM ({_OC
     audit AS MATERIALIZED (SELECT o.result_id, o.idx AS token_no, o.token AS original, CASE WHEN o.skipped IS NULL THEN f.corrected ELSE o.token END AS corrected, coalesce(f.changed, false) AND o.skipped IS NULL AS changed,
         CASE WHEN o.skipped IS NULL THEN f.distance END AS distance, coalesce(o.skipped, f.reason) AS reason, o.start_char, o.end_char FROM ocr o LEFT JOIN fixed f ON f.token = o.token)"""
 
-_NAMES = "[" + ", ".join(_quote(x) for x in (*RAW_LABELS, "Mystery Box")) + "]"
+# The raw labels in the detector's order, and one unknown.
+_NAMES = """['paragraph_title', 'image', 'text', 'number', 'abstract', 'content', 'figure_title', 'formula', 'table', 'table_title', 'reference', 'doc_title', 'footnote',
+    'header', 'algorithm', 'footer', 'seal', 'chart_title', 'chart', 'formula_number', 'header_image', 'footer_image', 'aside_text', 'Mystery Box']"""
 
 
 def _label(column: str) -> str:
     plain = f"translate(lower({_strip(column)}), ' -', '__')"
-    return f"CASE {plain} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in LABEL_MAP.items()) + " ELSE 'other' END"
+    return f"""CASE WHEN {plain} IN ('doc_title', 'paragraph_title') THEN 'title'
+        WHEN {plain} IN ('text', 'abstract', 'content', 'reference', 'footnote', 'algorithm', 'aside_text') THEN 'paragraph'
+        WHEN {plain} IN ('figure_title', 'table_title', 'chart_title') THEN 'caption' WHEN {plain} IN ('table', 'image', 'chart') THEN {plain}
+        WHEN {plain} IN ('formula', 'formula_number') THEN 'formula' WHEN {plain} IN ('header', 'header_image') THEN 'header'
+        WHEN {plain} IN ('footer', 'footer_image') THEN 'footer' WHEN {plain} = 'number' THEN 'page_number' ELSE 'other' END"""
 
 
 _REGIONS = f"""
@@ -138,10 +146,25 @@ _REGIONS = f"""
     FROM (SELECT l_orderkey AS page_id, l_linenumber AS box_no, {_NAMES}[l_partkey % 24 + 1] AS raw, CAST(l_suppkey AS INTEGER) AS class_id, l_discount * 10 AS score,
         l_quantity * 30 - 100 AS a1, l_partkey % 900 - 40.5::DOUBLE AS b1, l_quantity * 30 - 100 + (l_suppkey % 40) * 7.25::DOUBLE - 60 AS a2, l_partkey % 900 - 40.5::DOUBLE + l_tax * 1500 AS b2 FROM lineitem)
     WHERE score >= 0.35) WHERE x2 > x1 AND y2 > y1 AND label <> 'other'"""
+_LOGGED = "SELECT DISTINCT item_id, source_text FROM dictionary_items WHERE item_id IS NOT NULL"
+_FORMS = "CASE WHEN normalized IN ('was', 'were', 'is') THEN 'be' WHEN normalized IN ('has', 'had') THEN 'have' WHEN normalized = 'children' THEN 'child' WHEN normalized = 'books' THEN 'book' WHEN normalized = 'made' THEN 'make' WHEN normalized = 'found' THEN 'find' WHEN normalized = 'saw' THEN 'see' ELSE normalized END"
+_REPLACED = f"""
+    SELECT key AS normalized, source_text, translations FROM (
+        WITH entries AS (SELECT {_normal('source_text')} AS key, ord, source_text, translations FROM ({_ITEMS}) WHERE regexp_full_match(source_text, {_quote(WORD)}) AND {_GOOD}),
+        live AS (SELECT * FROM (SELECT *, max(CASE WHEN regexp_matches(source_text, '^[A-Z]') THEN ord END) OVER (PARTITION BY key) AS last FROM entries) WHERE last IS NULL OR ord >= last)
+        SELECT h.key, h.source_text, t.translations FROM (SELECT key, arg_min(source_text, ord) AS source_text FROM live GROUP BY key) h JOIN ({_TRANSLATIONS}) t ON h.key = t.key)"""
 _STORED = "SELECT DISTINCT region_id, raw_label, class_id, confidence, x1, y1, x2, y2 FROM layout_regions"
 
 
 def oracle_sql() -> dict[str, str]:
+    found = _stated()
+    # The pipeline is the translation over the corrected texts in place of the documents.
+    fixed = f"SELECT result_id AS doc_id, corrected_text AS text FROM ({found['correct_text']})"
+    found["screen_pipeline"] = f"SELECT doc_id AS result_id, literal_translation FROM ({found['dict_translate'].replace(_DOCUMENTS, fixed)})"
+    return found
+
+
+def _stated() -> dict[str, str]:
     return {
         "tok_tokens": f"SELECT doc_id, idx, token AS text, start_char, end_char, token_type FROM ({_DOC_TOKENS})",
         "tok_normalized": f"SELECT normalized, token_type, count(*) AS n FROM ({_DOC_TOKENS}) GROUP BY ALL",
@@ -179,4 +202,27 @@ def oracle_sql() -> dict[str, str]:
         "input_validation": "SELECT doc_id, CASE WHEN text IS NULL THEN 'null_text' WHEN length(text) > 10000 THEN 'too_long' ELSE 'ok' END AS error FROM documents",
         "image_validation": "SELECT CASE WHEN image_width IS NULL OR image_height IS NULL THEN 'no_image' WHEN image_height < 16 THEN 'too_low' WHEN image_width < 1000 THEN 'too_narrow' WHEN image_width::BIGINT * image_height > 2100000 THEN 'too_many_pixels' ELSE 'ok' END AS error, count(*) AS n FROM (SELECT DISTINCT page_id, image_width, image_height FROM layout_pages) GROUP BY ALL",
         "ocr_flatten": f"SELECT result_id, CAST(pos - 1 AS INTEGER) AS line_no, text, list_extract([0.5, 0.25, 0.75], pos)::DOUBLE AS score FROM (SELECT result_id, unnest(lines) AS text, generate_subscripts(lines, 1) AS pos FROM (SELECT result_id, string_split(original_text, chr(10)) AS lines FROM ({_PAGES}) WHERE original_text IS NOT NULL))",
+        "dict_item_rows": f"""{_WITH}{_DOC_ITEMS}, spans AS (
+                SELECT doc_id, start_idx, (SELECT m.end_idx FROM matches m WHERE m.doc_id = i.doc_id AND m.start_idx = i.start_idx) AS end_idx, start_char, end_char FROM items i
+                UNION ALL SELECT doc_id, idx, idx + 1, start_char, end_char FROM tok ANTI JOIN covered USING (doc_id, idx))
+            SELECT s.doc_id, CASE WHEN s.item_type = 'phrase' THEN substr(d.text, CAST(p.start_char + 1 AS BIGINT), CAST(p.end_char - p.start_char AS BIGINT)) ELSE s.token END AS source_text, s.normalized AS normalized_tokens,
+                coalesce(list_aggregate(s.translations, 'string_agg', '|'), '') AS translations, s.item_type, s.start_idx AS start_token_index, p.end_idx AS end_token_index, p.start_char, p.end_char
+            FROM shown s JOIN spans p ON p.doc_id = s.doc_id AND p.start_idx = s.start_idx JOIN documents d ON d.doc_id = s.doc_id""",
+        "dict_words_replaced": _REPLACED,
+        "word_lookup": f"""SELECT item_id, CASE WHEN one THEN {_normal('source_text')} END AS normalized, CASE WHEN one AND NOT number THEN coalesce(list_aggregate(w.translations, 'string_agg', '|'), '') ELSE '' END AS translations,
+                CASE WHEN NOT one THEN NULL WHEN number THEN 'number' WHEN w.normalized IS NULL THEN 'unknown' ELSE 'word' END AS item_type, CASE WHEN NOT one THEN 'not_one_token' END AS error
+            FROM (SELECT item_id, source_text, coalesce(regexp_full_match(source_text, {_quote(TOKEN)}), false) AS one, coalesce(regexp_matches(source_text, '^\\p{{Nd}}'), false) AS number FROM ({_LOGGED})) i
+            LEFT JOIN (SELECT normalized, translations FROM ({_WORDS})) w ON i.one AND w.normalized = {_normal('i.source_text')}""",
+        "phrase_lookup": f"""SELECT phrase, coalesce(list_aggregate(p.translations, 'string_agg', '|'), '') AS translations, p.normalized_tokens IS NOT NULL AS present
+            FROM (SELECT DISTINCT source_text AS phrase, list_aggregate(list_transform(regexp_extract_all(source_text, {_quote(TOKEN)}), lambda x: {_normal('x')}), 'string_agg', ' ') AS key FROM ({_LOGGED}) WHERE source_text IS NOT NULL) a
+            LEFT JOIN ({_PHRASES}) p ON p.normalized_tokens = a.key""",
+        "tok_lemmas": f"SELECT CASE WHEN token_type = 'word' THEN {_FORMS} ELSE normalized END AS normalized, count(*) AS n FROM ({_DOC_TOKENS}) GROUP BY ALL",
+        "tok_nfc": f"""SELECT translate(nfc_normalize(token), {_quote(APOSTROPHES + _HYPHENS)}, {_quote(chr(39) * len(APOSTROPHES) + '-' * len(_HYPHENS))}) AS normalized, count(*) AS n
+            FROM ({_DOC_TOKENS}) WHERE token_type = 'word' AND length(token) > 1 AND length(token) <= 128 GROUP BY ALL""",
+        "skip_rules": """SELECT token, opens, reason FROM (VALUES ('I', true, 'token_too_short'), (repeat('x', 65), true, 'token_too_long'), (repeat('x', 64), true, NULL), ('don''t', false, 'token_contains_apostrophe'),
+            ('don’t', false, 'token_contains_apostrophe'), ('well-known', true, 'token_contains_hyphen'), ('http://a.b', true, 'token_is_url'), ('HTTPS://A.B', false, 'token_is_url'), ('www.a.b', false, 'token_is_url'),
+            ('me@a.b', true, 'token_is_email'), ('me@a', true, NULL), ('USA', true, 'token_is_acronym'), ('eBay', true, 'token_has_mixed_case'), ('McX', false, 'token_has_mixed_case'), ('Title', true, NULL),
+            ('Title', false, 'token_may_be_proper_name'), ('plain', false, NULL), ('AB', false, 'token_is_acronym')) t(token, opens, reason)""",
+        "token_rules": "SELECT place, error FROM (VALUES (0, 'empty_token'), (1, NULL), (2, 'white_space'), (3, 'white_space'), (4, 'too_long'), (5, NULL), (6, 'white_space'), (7, 'null_token')) t(place, error)",
+        "layout_image_rules": "SELECT CASE WHEN image_width IS NULL OR image_height IS NULL THEN 'no_image' WHEN image_width < 1300 THEN 'too_narrow' WHEN image_height < 1000 THEN 'too_low' WHEN image_width::BIGINT * image_height > 2500000 THEN 'too_many_pixels' ELSE 'ok' END AS error, count(*) AS n FROM (SELECT DISTINCT page_id, image_width, image_height FROM layout_pages) GROUP BY ALL",
     }

@@ -263,10 +263,87 @@ def screen_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return translation.translate_texts(fixed, "result_id", "corrected_text", words, many, SETTINGS, limited=False)
 
 
+def dict_item_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every translation item of the documents, all columns."""
+    rows = _document_items(spark, sf_dir)
+    return rows.withColumns({"normalized_tokens": F.array_join("normalized_tokens", " "), "translations": F.array_join("translations", "|")})
+
+
+def dict_words_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word dictionary if entries that are written with a capital replace what came before them."""
+    entries = _items(spark, sf_dir).withColumn("replace", F.coalesce(F.col("source_text").rlike(r"^\s*[A-Z]"), F.lit(False)))
+    return lexicon.word_lexicon(entries, SETTINGS, source="source_text")
+
+
+def _logged_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "dictionary_items").select("item_id", "source_text").where("item_id is not null").dropDuplicates(["item_id"])
+
+
+def word_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logged items' texts, each looked up as a single word."""
+    rows = translation.translate_words(_logged_texts(spark, sf_dir), "item_id", "source_text", pinned(_words(spark, sf_dir)), SETTINGS)
+    return rows.withColumn("translations", F.array_join("translations", "|"))
+
+
+def phrase_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which logged texts are phrases of the dictionary."""
+    asked = _logged_texts(spark, sf_dir).select(F.col("source_text").alias("phrase"))
+    return lexicon.get_phrases(asked, pinned(_phrases(spark, sf_dir))).withColumn("translations", F.array_join("translations", "|"))
+
+
+#: Forms of the test texts and what they are forms of.
+FORMS = (("was", "be"), ("were", "be"), ("is", "be"), ("children", "child"), ("has", "have"), ("had", "have"), ("books", "book"), ("made", "make"), ("found", "find"), ("saw", "see"))
+
+
+def tok_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each normal form occurs once some words are lemmatized."""
+    lemmas = spark.createDataFrame(list(FORMS), "form string, lemma string")
+    rows = tokens.tokenize(table(spark, sf_dir, "documents"), "doc_id", "text", SETTINGS, lemmas, limited=False)
+    return rows.groupBy("normalized").agg(F.count(F.lit(1)).alias("n"))
+
+
+def tok_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normal forms by NFC with case kept and without numbers and single characters."""
+    settings = TranslationSettings(unicode_normalization="NFC", case_sensitive=True, include_numbers=False, include_single_character_words=False)
+    return tokens.token_counts(table(spark, sf_dir, "documents"), "text", settings, limited=False).groupBy("normalized").agg(F.sum("n").alias("n"))
+
+
+#: Single tokens, each with whether a sentence may begin there.
+TOKENS = (
+    ("I", True), ("x" * 65, True), ("x" * 64, True), ("don't", False), ("don’t", False), ("well-known", True), ("http://a.b", True), ("HTTPS://A.B", False), ("www.a.b", False),
+    ("me@a.b", True), ("me@a", True), ("USA", True), ("eBay", True), ("McX", False), ("Title", True), ("Title", False), ("plain", False), ("AB", False),
+)
+
+
+def skip_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rule that skips each of some tokens, given one by one."""
+    rows = spark.createDataFrame(list(TOKENS), "token string, opens boolean")
+    return rows.select("token", "opens", correction.skip_reason(F.col("token"), F.col("opens")).alias("reason"))
+
+
+#: Single tokens for the rules on them.
+RULED = ("", "word", "two words", "tab\there", "x" * 129, "x" * 128, "no-break\u00a0space", None)
+
+
+def token_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rule that each of some tokens breaks."""
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(RULED)], "place int, token string")
+    return rows.select("place", tokens.token_error(F.col("token")).alias("error"))
+
+
+def layout_image_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many page images break which rule of the layout detection, which tests the width first."""
+    rows = table(spark, sf_dir, "layout_pages").select("page_id", "image_width", "image_height").dropDuplicates(["page_id"])
+    settings = LayoutSettings(min_image_width=1300, min_image_height=1000, max_image_pixels=2_500_000)
+    error = recognition.image_error(F.col("image_width"), F.col("image_height"), F.lit(3), F.lit(recognition.CV_8UC3), settings)
+    return rows.groupBy(F.coalesce(error, F.lit("ok")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def queries() -> dict[str, Query]:
     every = (
         tok_tokens, tok_normalized, tok_drop_rules, ocr_tokens, dict_words, dict_phrases, phrase_candidates, phrase_longest, phrase_shortest, phrase_matches,
         dict_items, dict_unknown_items, dict_translate, correct_skip_reason, vocab_frequency, vocab_contains, suggest_topk, correct_select, correct_tokens, correct_text,
         layout_regions, layout_label_counts, layout_reading_order, layout_stored, layout_decode, nmt_prepare, nmt_clean, input_validation, image_validation, ocr_flatten, screen_pipeline,
+        dict_item_rows, dict_words_replaced, word_lookup, phrase_lookup, tok_lemmas, tok_nfc, skip_rules, token_rules, layout_image_rules,
     )
     return {f.__name__: f for f in every}
