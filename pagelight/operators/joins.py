@@ -31,3 +31,15 @@ def bounded_rows(table: DataFrame, most: int = BROADCAST_ROWS) -> list | None:
     """The table's rows if there are at most `most`, else None; no more than one above that are ever fetched."""
     rows = table.limit(most + 1).collect()
     return rows if len(rows) <= most else None
+
+
+def once_each(df: DataFrame, key: str) -> DataFrame:
+    """The rows of a table of files, of repeated keys the first one only; rows without a key all stay.
+
+    Only keys and places are exchanged: the keys that stand more than once are
+    looked up, so that the rows' other columns, texts say, stay where they are.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    rows = df.withColumn("_place", place)
+    repeated = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first")).where("_n > 1").select(key, "_first")
+    return lookup_join(rows, repeated, [key]).where(F.col("_first").isNull() | (F.col("_place") == F.col("_first"))).select(df.columns)

@@ -92,3 +92,13 @@ def test_lookup_join_with_hot_key(spark, monkeypatch):
     monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
     out = joins.lookup_join(rows, table, ["k"])
     assert out.count() == 300 and out.where("v is not null").count() == 201
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_once_each(spark, monkeypatch, tmp_path, few):
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", few)
+    rows = [(i % 40 or None, f"text {i % 40}") for i in range(100)]
+    spark.createDataFrame(rows, "id long, text string").repartition(3).write.parquet(str(tmp_path / "t"))
+    out = joins.once_each(spark.read.parquet(str(tmp_path / "t")).select("id", "text"), "id").collect()
+    assert sorted(r.id for r in out if r.id is not None) == list(range(1, 40)) and sum(r.id is None for r in out) == 3
+    assert all(r.text == f"text {r.id or 0}" for r in out)
