@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelight.functions.chars import fold_text, strip_ws
 from pagelight.llm import encoding, frequency, leakage, pairs, percentiles, scans, sentences, splitting, subjects
+from pagelight.operators.joins import once_each
 from pagelight.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,8 +44,24 @@ def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ordered pieces of every source_text."""
-    rows = table(spark, sf_dir, "translation_results")
-    return splitting.split_texts(rows, "translation_id", "source_text").dropDuplicates(["translation_id", "piece_no"])
+    rows = once_each(table(spark, sf_dir, "translation_results").select("translation_id", "source_text"), "translation_id")
+    return splitting.split_texts(rows, "translation_id", "source_text")
+
+
+def p3_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every source_text whether its pieces hold it whole, none beyond the limit, each but the first with an overlap of at most 200 characters."""
+    order = Window.partitionBy("translation_id").orderBy("piece_no")
+    pieces = p3_pieces(spark, sf_dir).withColumn("shared", F.lag("end_char").over(order) - F.col("start_char"))
+    texts = once_each(table(spark, sf_dir, "translation_results").select("translation_id", "source_text"), "translation_id")
+    found = pieces.groupBy("translation_id").agg(
+        F.max("end_char").cast("long").alias("n_chars"),
+        (F.min("start_char") == 0).alias("from_begin"),
+        (F.max(F.col("end_char") - F.col("start_char")) <= splitting.LIMIT).alias("within_limit"),
+        F.coalesce(F.min("shared") >= 0, F.lit(True)).alias("no_gap"),
+        F.coalesce(F.max("shared") <= 200, F.lit(True)).alias("overlap_bound"),
+        F.sum(F.length("piece") - F.coalesce(F.greatest("shared", F.lit(0)), F.lit(0))).cast("long").alias("chars_once"),
+    )
+    return texts.where("source_text is not null").select("translation_id").join(found, "translation_id")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,14 +106,14 @@ def p4_label_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences of every source_text in order."""
-    rows = table(spark, sf_dir, "translation_results")
-    return sentences.split_sentences(rows, "translation_id", "source_text").dropDuplicates(["translation_id", "sentence_no"])
+    rows = once_each(table(spark, sf_dir, "translation_results").select("translation_id", "source_text"), "translation_id")
+    return sentences.split_sentences(rows, "translation_id", "source_text")
 
 
 def p5_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences of every processed_text in order."""
-    rows = table(spark, sf_dir, "translation_results")
-    return sentences.split_sentences(rows, "translation_id", "processed_text").dropDuplicates(["translation_id", "sentence_no"])
+    rows = once_each(table(spark, sf_dir, "translation_results").select("translation_id", "processed_text"), "translation_id")
+    return sentences.split_sentences(rows, "translation_id", "processed_text")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +147,7 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_terms, p1_found, p2_found, p2_paragraphs, p3_pieces, p3_found, p4_day_counts, p4_day_percentiles, p4_label_percentiles, p5_sentences, p5_processed, p5_found, p6_found, p7_ids, p8_found, p9_found, p9_composition)}
+    return {f.__name__: f for f in (p1_terms, p1_found, p2_found, p2_paragraphs, p3_pieces, p3_found, p3_cover, p4_day_counts, p4_day_percentiles, p4_label_percentiles, p5_sentences, p5_processed, p5_found, p6_found, p7_ids, p8_found, p9_found, p9_composition)}
 
 
 _REGION_SQL = """
@@ -190,6 +207,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_terms": _term_sql(),
         "p1_found": f"SELECT field_name, term, mark FROM ({_term_sql()}) WHERE mark IS NOT NULL",
         "p3_found": "SELECT DISTINCT translation_id FROM translation_results WHERE length(source_text) > 5000",
+        "p3_cover": "SELECT DISTINCT translation_id, CAST(length(source_text) AS BIGINT) AS n_chars, true AS from_begin, true AS within_limit, true AS no_gap, true AS overlap_bound, CAST(length(source_text) AS BIGINT) AS chars_once FROM translation_results WHERE source_text IS NOT NULL",
         "p4_day_counts": _day_count_sql(),
         "p4_day_percentiles": _percentile_sql("label, day"),
         "p4_label_percentiles": _percentile_sql("label"),
