@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -54,6 +56,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="pagelight-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     context.setCheckpointDir(made)
     return made
 
