@@ -135,6 +135,30 @@ def test_defects(model, prompt, response, due):
     assert pairs.defect(model, prompt, response) == due
 
 
+@pytest.mark.parametrize("kept", [1, 4])
+def test_languages_of_neither_side_are_foreign(spark, kept):
+    """However few responses there are for the prompts."""
+    rows = [(i, GOOD[i % 3][0], GOOD[i % 3][1] if i % kept == 0 else GOOD[i % 3][1][:9]) for i in range(240)]
+    model = pairs.fit(spark.createDataFrame(rows, "id long, a string, b string"), "id", "a", "b")
+    for foreign in ("Старая лодка была красной вчера вечером.", "古い船は赤いです。", "배가 빨갛습니다 그리고 오래되었습니다."):
+        assert pairs.defect(model, GOOD[0][0], foreign) == "wrong_language"
+    for asked, given in GOOD:
+        assert pairs.defect(model, asked, given) != "wrong_language"
+
+
+def test_bounds_of_sentence_counts_change_nothing():
+    """Where the end marks settle the count the sentences would have said the same."""
+    import random
+
+    rng = random.Random(5)
+    parts = ["The boat is red. ", "Dr. Hall left at 5 p.m. today. ", "He said: “Wait. It is old!” and went. ", "“Is it?” ", "Why? ", "So it is… ", "(See p. 3.) ", "e.g. this one, ", "\n\n", "Thuyền đỏ. ", "Ông nói: “Khoan. Đợi đã!” rồi đi. "]
+    for _ in range(1500):
+        a, b = ("".join(rng.choice(parts) for _ in range(rng.randint(1, n))) for n in (9, 7))
+        asked, given = len(sentences.sentences(a)), len(sentences.sentences(b))
+        if b.strip():
+            assert pairs._omits(a, b) == (asked > 1 and 2 * given <= asked), (a, b, asked, given)
+
+
 def test_defects_of_rows(spark, model):
     df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(CASES)] + [(99, GOOD[0][0], None)] * 2, "id long, a string, b string")
     out = pairs.find_defects(df, "id", "a", "b", model).collect()
