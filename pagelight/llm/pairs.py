@@ -5,9 +5,10 @@ of the response language, of the prompts' languages and of one that neither
 side has; those of prompt and response are compared. The likelihood of a text's
 last characters as an end of text, against that inside a text, says for prompt
 and response whether each is complete; a response that isn't, to a prompt that
-is, is truncated. Everything is fitted here on the pairs themselves, in two
-passes: in the second each text counts for the class that the first model gives
-it, so that copies and answers in another language don't blur the classes.
+is, is truncated. Everything is fitted here on the pairs themselves, all of
+them, in two passes: in the second each text counts for the class that the
+first model gives it, so that copies and answers in another language don't blur
+the classes.
 
 Texts are handled a batch at a time, as one array of characters; sentences are
 cut only where counting end marks leaves doubt.
@@ -30,8 +31,6 @@ from pagelight.llm.sentences import _BLANK, GOES_ON, MAY_END, sentences
 from pagelight.session import spread
 
 BUCKETS = 1 << 16
-#: Rows that the models are fitted on: those of the smallest key hashes.
-FIT_ROWS = 20_000
 SIZES, TAIL = 4, 4
 #: Share of an n-gram's probability that is the same for all n-grams: n-grams unseen on both sides favour neither, however large each side is.
 FLAT = 0.05
@@ -50,12 +49,13 @@ _UPPER = "".join(c for c in map(chr, range(0x1F00)) if c.isupper())
 _LOWER = "".join(c for c in map(chr, range(0x1F00)) if c.islower())
 # Where a sentence may end: no mark that a word, or behind a gap one of lower case, goes on behind.
 _ANY_MARK = re.compile(rf"[.!?…]+[\"'”’»)\]]*(?![^\W_]|[.!?…\"'”’»)\]]|\s+[{_LOWER}])|[.!?]+(?=[^\W\d_{_LOWER}])|[。！？｡।॥؟۔᙮።၊။။]+|\n\s*\n|\u2029")
-_WORD_BEFORE = re.compile(r"[^\W_]+\Z")
+# What each of them begins with.
+_FIRST_MARK = re.compile("[.!?…。！？｡।॥؟۔᙮។၊။\n\u2029]")
 _LAST = WS_CHARS + _MARKS + "\"'”’“‘»›」』）)]}】》"
 # Scripts whose sentences end at a space.
 _BARE = re.compile("[\u0e00-\u0eff\u1780-\u17ff\u1000-\u109f]\\s+")
 # Quoted speech, or a mark at which a sentence ends for sure unless the word is an abbreviation.
-_SURE = re.compile(rf"“[^”]*”(?P<speech>(?<=[.!?…]”)(?=\s+[“(]*[{_UPPER}]))?|\"[^\"]*\"|«[^»]*»|\([^()]*\)|(?P<word>[^\W\d_]{{2,}})[.!?…](?=\s+[“(]*[{_UPPER}])")
+_SURE = re.compile(rf"“[^”]*”(?P<speech>(?<=[.!?…]”)(?=\s+[“(]*[{_UPPER}]))?|\"[^\"]*\"|«[^»]*»|\([^()]*\)|(?<![^\W\d_])(?P<word>[^\W\d_]{{2,}}+)[.!?…](?=\s+[“(]*[{_UPPER}])")
 
 # Words by which an assistant excuses itself (sorry, refuse, policy).
 _EXCUSE = re.compile(
@@ -64,6 +64,12 @@ _EXCUSE = re.compile(
     r"|désolée?|je ne peux pas|leider|tut mir leid|kann (?:ich )?nicht|lo siento|no puedo)\b",
     re.I,
 )
+# One of these, case-folded, is in each of them: they are looked for first.
+_STEMS = (
+    "sorry", "apologi", "regret", "unfortunately", "unable", "cannot", "can't", "can’t", "won't", "won’t", "not able", "not allowed", "refuse", "decline", "as a",
+    "xin lỗi", "rất tiếc", "đáng tiếc", "không thể", "không được phép", "từ chối", "là một ", "vi phạm", "thông cảm", "nằm ngoài khả năng", "không dịch được",
+    "désolé", "je ne peux pas", "leider", "tut mir leid", "kann ", "lo siento", "no puedo",
+)
 # What such an excuse is about: the task and not a thing of the text.
 _TASK = re.compile(
     r"\b(?:translat\w*|request\w*|assist with (?:this|that)|help (?:you )?with (?:this|that)|process\w*|content|passage|policy|policies|language model|an? ai|this text|provide (?:a|another|the))\b"
@@ -73,7 +79,7 @@ _TASK = re.compile(
 )
 
 
-WORD, ALNUM, DENSE, MARK, DIGIT, CLOSE = 1, 2, 4, 8, 16, 32
+WORD, ALNUM, DENSE, MARK, DIGIT, CLOSE, BLANK = 1, 2, 4, 8, 16, 32, 64
 _kinds = np.full(0x110000, 255, np.uint8)
 
 
@@ -83,7 +89,7 @@ def _kind(c: str) -> int:
     letter = c.isalpha() or category[0] == "M"
     closing = category in ("Pe", "Pf", "Pi", "Cf") or c in "\"'" or c.isspace()
     dense = "\u3040" <= c <= "\u30ff" or "\u3400" <= c <= "\u9fff" or "\uf900" <= c <= "\ufaff"
-    return WORD * letter | ALNUM * c.isalnum() | DENSE * dense | MARK * (c in _MARKS or c == _END) | DIGIT * c.isdigit() | CLOSE * closing
+    return WORD * letter | ALNUM * c.isalnum() | DENSE * dense | MARK * (c in _MARKS or c == _END) | DIGIT * c.isdigit() | CLOSE * closing | BLANK * (c in WS_CHARS)
 
 
 def kinds_of(codes: np.ndarray) -> np.ndarray:
@@ -108,6 +114,7 @@ class Texts:
     owner: np.ndarray = field(default=None)
     letters: np.ndarray = field(default=None)
     _flattened: tuple[np.ndarray, np.ndarray] | None = None
+    _tails: np.ndarray | None = None
 
     @classmethod
     def of(cls, texts: Sequence[str]) -> Texts:
@@ -134,19 +141,25 @@ class Texts:
         wide = np.concatenate([[32], stream]).astype(np.uint64)
         stop = np.concatenate([[True], mark & (stream == 32)])
         number = np.cumsum(stop)
+        # Of an n-gram's first character; a stop is of the segment behind it.
+        of = number.copy()
+        of[:-1] += stop[:-1] & stop[1:]
         grams, segment = [], []
         value = np.zeros(len(wide), np.uint64)
         for n in range(1, SIZES + 1):
             if len(wide) < n:
                 break
-            value = value[: len(wide) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + wide[n - 1 :] + np.uint64(n)
-            first = np.arange(len(value))
-            at = np.where(stop[: len(value)], first + 1, first) if n > 1 else first
+            value = value[: len(wide) - n + 1] * np.uint64(0x9E3779B97F4A7C15)
+            value += wide[n - 1 :]
+            value += np.uint64(n)
             # No n-gram goes over a stop.
-            good = (number[n - 2 : len(wide) - 1] == number[np.minimum(at, len(number) - 1)]) if n > 1 else wide != 32
-            mixed = value ^ (value >> np.uint64(29))
-            grams.append((mixed[good] * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.int64))
-            segment.append(number[at[good]])
+            good = np.flatnonzero(number[n - 2 : len(wide) - 1] == of[: len(value)] if n > 1 else wide != 32)
+            found = value[good]
+            found ^= found >> np.uint64(29)
+            found *= np.uint64(0xBF58476D1CE4E5B9)
+            found >>= np.uint64(48)
+            grams.append(found.view(np.int64))
+            segment.append((of if n > 1 else number)[good])
         self.grams, self.segment = np.concatenate(grams), np.concatenate(segment)
         # The text of a segment is that of its first character.
         place = np.flatnonzero(keep)
@@ -157,16 +170,44 @@ class Texts:
 
     def tails(self) -> np.ndarray:
         """(texts, TAIL) hashed n-grams of sizes 1 to TAIL that end at each text's end; -1 for blank texts and beyond the begin."""
-        return _tail_hashes(self._flat()[0])[self._flat()[1]]
+        if self._tails is None:
+            codes, last = self._flat()
+            self._tails = np.full((len(last), TAIL), -1, np.int64)
+            good, value = np.ones(len(last), bool), np.zeros(len(last), np.uint64)
+            for n in range(TAIL):
+                place = last - n
+                code = codes[np.maximum(place, 0)]
+                good &= (place >= 0) & (code != ord(_END))
+                value = _tail_value(value, code, n + 1)
+                self._tails[good, n] = _tail_bucket(value[good])
+        return self._tails
+
+    def inside(self) -> list[np.ndarray]:
+        """Of each size from 1 to TAIL the counts of hashed n-grams that end at any place of a text but its end."""
+        codes = self._flat()[0]
+        end = codes == ord(_END)
+        out = []
+        bad, value = np.zeros(len(codes), bool), np.zeros(len(codes), np.uint64)
+        for n in range(min(TAIL, len(codes))):
+            # From the last character back, so that a longer n-gram adds to the shorter one.
+            size = len(codes) - n
+            bad = bad[len(bad) - size :] | end[:size]
+            value = _tail_value(value[len(value) - size :], codes[:size], n + 1)
+            found = _tail_bucket(value)
+            found[bad] = BUCKETS
+            ends = self.tails()[:, n]
+            out.append(np.bincount(found, minlength=BUCKETS + 1)[:BUCKETS] - np.bincount(ends[ends >= 0], minlength=BUCKETS))
+        return out
 
     def _flat(self) -> tuple[np.ndarray, np.ndarray]:
         """Characters, each run of white space a space, without a text's last CLOSE ones; the last place of each text."""
         if self._flattened is None:
             codes = self.codes
-            blank = np.isin(codes, _BLANKS)
-            solid = np.flatnonzero((self.kinds & CLOSE == 0) | (codes == ord(_END)))
-            # Nothing but CLOSE up to the text's end.
-            last = codes[solid[np.searchsorted(solid, np.arange(len(codes)))]] == ord(_END)
+            end = codes == ord(_END)
+            blank = self.kinds & BLANK > 0
+            solid = (self.kinds & CLOSE == 0) | end
+            # Nothing but CLOSE up to the text's end: the next solid one is that end.
+            last = end[solid][np.cumsum(solid) - solid]
             last[self.ends] = False
             keep = ~last & ~(blank & np.append(blank[1:], True))
             codes = np.where(blank, 32, codes)[keep]
@@ -181,27 +222,13 @@ class Texts:
         return [text[a:b] for a, b in zip([0, *upto], upto)]
 
 
-_BLANKS = np.array([ord(c) for c in WS_CHARS], np.uint32)
-
-
-def _tail_hashes(codes: np.ndarray) -> np.ndarray:
-    """Of each place the hashed n-grams that end there, in their text; -1 where the text is shorter."""
-    out = np.full((len(codes), TAIL), -1, np.int64)
-    end = codes == ord(_END)
-    number = np.cumsum(end) - end
-    wide = codes.astype(np.uint64)
-    value = np.zeros(len(codes), np.uint64)
-    for n in range(1, TAIL + 1):
-        if len(codes) < n:
-            break
-        # From the last character back, so that a longer n-gram adds to the shorter one.
-        value = value[1:] if n > 1 else value
-        value = value * np.uint64(0x9E3779B97F4A7C15) + wide[: len(codes) - n + 1] + np.uint64(n)
-        mixed = value ^ (value >> np.uint64(31))
-        found = (mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.int64)
-        good = (number[: len(codes) - n + 1] == number[n - 1 :]) & ~end[n - 1 :]
-        out[n - 1 :, n - 1] = np.where(good, found, -1)
-    return out
+def _tail_value(value: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
+    """An n-gram's value from that of its last n - 1 characters and the one before them."""
+    return value * np.uint64(0x9E3779B97F4A7C15) + code + np.uint64(n)
+
+
+def _tail_bucket(value: np.ndarray) -> np.ndarray:
+    return ((value ^ (value >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).view(np.int64)
 
 
 @dataclass(frozen=True)
@@ -214,16 +241,18 @@ class PairModel:
     ends: np.ndarray
     last: np.ndarray
 
+    def posteriors(self, texts: Texts, of: np.ndarray, size: int) -> np.ndarray:
+        """The log likelihoods of the response language, a prompt language and an unknown one; `of` says to which of `size` sums each n-gram adds."""
+        known = [np.bincount(of, weights=log[texts.grams], minlength=size) for log in self.logs]
+        return np.array([*known, -np.log(BUCKETS) * np.bincount(of, minlength=size)])
+
     def odds(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Of each segment the log odds of the response language against the better of a prompt
         language and an unknown one; and the same of each whole text."""
-        size = len(texts.owner)
-        response, prompt = (np.bincount(texts.segment, weights=log[texts.grams], minlength=size) for log in self.logs)
-        unknown = -np.log(BUCKETS) * np.bincount(texts.segment, minlength=size)
-        here = response - np.maximum(prompt, unknown)
+        three = self.posteriors(texts, texts.segment, len(texts.owner))
         many = len(texts.ends)
-        total = [np.bincount(texts.owner[1:], weights=x[1:], minlength=many)[:many] for x in (response, prompt, unknown)]
-        return here, total[0] - np.maximum(total[1], total[2])
+        total = [np.bincount(texts.owner[1:], weights=x[1:], minlength=many)[:many] for x in three]
+        return three[0] - np.maximum(three[1], three[2]), total[0] - np.maximum(total[1], total[2])
 
     def foreign(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Of each text: are more of its letters in segments of another language than of the response language; its whole log odds."""
@@ -280,9 +309,14 @@ def _count(parts, model: PairModel | None = None):
     the class that it has, and only complete prompts and the responses to them tell how a text ends."""
     total: dict[str, np.ndarray] = {}
 
-    def add(kind: str, found: np.ndarray) -> None:
-        counts = np.bincount(found, minlength=BUCKETS)
-        total[kind] = total[kind] + counts if kind in total else counts
+    def add(kind: str, counts: np.ndarray) -> None:
+        if kind in total:
+            total[kind] += counts
+        else:
+            total[kind] = counts
+
+    def of(found: np.ndarray) -> np.ndarray:
+        return np.bincount(found, minlength=BUCKETS)
 
     for part in parts:
         part = part[part["prompt"].notna() & part["response"].notna()]
@@ -294,47 +328,34 @@ def _count(parts, model: PairModel | None = None):
             asked, given = (x.tails()[:, 0] for x in sides)
             known = (asked >= 0) & (given >= 0) & (True if whole is None else whole)
             for kind, found in (("last0", asked), ("last1", given), ("both", _both(asked, given))):
-                add(kind, found[known])
+                add(kind, of(found[known]))
             for side, texts in enumerate(sides):
                 if model is None:
-                    add(("prompt", "response")[side], texts.grams)
+                    add(("prompt", "response")[side], of(texts.grams))
                 else:
                     # Class by the whole text: what is of an unknown language counts for neither.
-                    size = len(texts.owner)
-                    response, prompt = (np.bincount(texts.segment, weights=log[texts.grams], minlength=size) for log in model.logs)
-                    unknown = -np.log(BUCKETS) * np.bincount(texts.segment, minlength=size)
-                    many = len(texts.ends)
-                    three = np.array([np.bincount(texts.owner[1:], weights=x[1:], minlength=many)[:many] for x in (response, prompt, unknown)])
-                    of = three.argmax(axis=0)
+                    owner = texts.owner[texts.segment]
+                    best = model.posteriors(texts, owner, len(texts.ends)).argmax(axis=0)
                     if side == 0:
-                        of = np.where(of == 2, 1, of)
-                    mine = of[texts.owner[texts.segment]]
-                    add("response", texts.grams[mine == 0])
-                    add("prompt", texts.grams[mine == 1])
-                codes, last = texts._flat()
-                tails = _tail_hashes(codes)
-                ends = tails[last] if whole is None else tails[last[whole]]
-                inside = np.ones(len(codes), bool)
-                inside[last] = False
-                for n in range(TAIL):
-                    for kind, found in (("end", ends[:, n]), ("inside", tails[inside, n])):
-                        add(f"{kind}{side}{n}", found[found >= 0])
+                        best = np.where(best == 2, 1, best)
+                    each = np.bincount(texts.grams + (BUCKETS * best)[owner], minlength=3 * BUCKETS)
+                    add("response", each[:BUCKETS])
+                    add("prompt", each[BUCKETS : 2 * BUCKETS])
+                ends = texts.tails() if whole is None else texts.tails()[whole]
+                for n, inside in enumerate(texts.inside()):
+                    add(f"end{side}{n}", of(ends[ends[:, n] >= 0, n]))
+                    add(f"inside{side}{n}", inside)
     if total:
         yield _rows(total)
 
 
-def fit(df: DataFrame, key: str, prompt: str, response: str, rows: int = FIT_ROWS) -> PairModel:
-    """Fits the models on at most `rows` rows (about; all if there are fewer), whole texts of them.
+def fit(df: DataFrame, key: str, prompt: str, response: str) -> PairModel:
+    """Fits the models on all rows, whole texts of them; `key` isn't read.
 
-    The rows are chosen by a hash of the key, so that they are spread over all
-    of df and every run takes the same. What comes to the driver is at most one
-    count per kind and bucket: 21 x 65,536 numbers, twice.
+    What comes to the driver is at most one count per kind and bucket:
+    21 x 65,536 numbers, twice.
     """
-    total = df.count()
-    some = df.select(F.col(prompt).alias("prompt"), F.col(response).alias("response"), F.col(key).alias("key"))
-    if total > rows:
-        some = some.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(rows / total * (1 << 20)))
-    some = spread(some.select("prompt", "response"))
+    some = spread(df.select(F.col(prompt).alias("prompt"), F.col(response).alias("response")))
     context = df.sparkSession.sparkContext
     model = None
     for _ in range(2):
@@ -397,18 +418,28 @@ def _copied(prompt: str, response: str, a: str, b: str) -> bool:
     return whole or b.replace(a, "") == ""
 
 
+def _excuses(text: str) -> bool:
+    low = text.casefold()
+    # The pattern takes these two for an i, case folding doesn't.
+    return ("İ" in text or "ı" in text or any(stem in low for stem in _STEMS)) and _EXCUSE.search(text) is not None
+
+
 def _refused(prompt: str, response: str) -> bool:
     """It excuses itself, of the task, in place of a translation."""
-    if not _EXCUSE.search(" ".join(response.split())):
+    flat = " ".join(response.split())
+    if not _excuses(flat):
+        return False
+    said = _excuses(prompt)
+    # A source that says so itself: only an excuse of the task is none of its own.
+    if said and (_TASK.search(prompt) or not _TASK.search(flat)):
         return False
     units = [" ".join(response[a:b].split()) for a, b in sentences(response)]
-    excuses = [u for u in units if _EXCUSE.search(u)]
+    excuses = [u for u in units if _excuses(u)]
     if not excuses:
         return False
     about_task = [u for u in excuses if _TASK.search(u)]
-    said = bool(_EXCUSE.search(prompt))
-    if about_task and not (said and _TASK.search(prompt)):
-        rest = sum(len(u) for u in units if u not in excuses and not _TASK.search(u) and not _EXCUSE.search(u))
+    if about_task:
+        rest = sum(len(u) for u in units if u not in excuses and not _TASK.search(u))
         return rest <= 0.5 * sum(map(len, units))
     return not said and len(units) <= 3 and units[0] in excuses and len(excuses) * 2 >= len(units)
 
@@ -421,13 +452,21 @@ def _omits(prompt: str, response: str) -> bool:
     """
     # What ends the text parts nothing.
     body = prompt.rstrip(_LAST)
-    most = 1
-    for m in _ANY_MARK.finditer(body):
-        at = m.start()
-        if m[0] == "." and (word := _WORD_BEFORE.search(body, max(0, at - 12), at)):
+    most, begin = 1, 0
+    while first := _FIRST_MARK.search(body, begin):
+        at = first.start()
+        m = _ANY_MARK.match(body, at)
+        begin = m.end() if m else at + 1
+        if not m:
+            continue
+        low = at
+        while low > max(0, at - 12) and body[low - 1].isalnum():
+            low -= 1
+        if low < at and m[0] == ".":
             # "Dr.", "J."; behind "p.m." a sentence may end.
-            alone = len(word[0]) == 1 and word[0].isalpha() and body[at - 2 : at - 1] != "."
-            most += not alone and word[0].casefold() not in GOES_ON
+            word = body[low:at]
+            alone = len(word) == 1 and word.isalpha() and body[at - 2 : at - 1] != "."
+            most += not alone and word.casefold() not in GOES_ON
         else:
             most += 1
     if not prompt.isascii():
@@ -441,8 +480,8 @@ def _omits(prompt: str, response: str) -> bool:
             for m in _SURE.finditer(block):
                 word = m["word"]
                 least += word.casefold() not in GOES_ON and word.casefold() not in MAY_END if word else m["speech"] is not None
-    if 2 * least > most:
-        return False
+            if 2 * least > most:
+                return False
     asked = len(sentences(prompt))
     return asked > 1 and 2 * len(sentences(response)) <= asked
 

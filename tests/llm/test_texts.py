@@ -135,6 +135,35 @@ def test_defects(model, prompt, response, due):
     assert pairs.defect(model, prompt, response) == due
 
 
+def test_fit_takes_all_rows(spark):
+    """Of 25,000 pairs each has its part in the model, and so has a language of a few of them."""
+    import numpy as np
+
+    n = 25_000
+    rows = spark.range(n).selectExpr("id", "CASE WHEN id % 2500 = 0 THEN 'ωψ ωψ.' ELSE 'ab cd.' END AS a", "concat('xy ', id % 10, ' zq.') AS b")
+    model = pairs.fit(rows, "id", "a", "b")
+    # Places of a text but its last one.
+    assert [model.ends[side, 1, 0].sum() for side in (0, 1)] == [n * (len("ab cd.") - 1), n * (len("xy 0 zq.") - 1)]
+    assert model.last[0].sum() == model.last[1].sum() == model.last[2].sum() == n
+    few, many = (np.unique(pairs.Texts.of([x]).grams) for x in ("ωψ ωψ.", "ab cd."))
+    share = np.exp(model.logs[1]) - pairs.FLAT / pairs.BUCKETS
+    assert share[few].sum() / share[[*few, *many]].sum() == pytest.approx(10 / n, rel=0.01)
+
+
+def test_excuses_are_found_by_their_stems():
+    """What is looked for first leaves nothing out that the pattern finds."""
+    import random
+
+    rng = random.Random(6)
+    words = "sorry,apologize,apologise,regret,unfortunately,unable,cannot,can't,can’t,won't,won’t,not able,not allowed,refuse,decline,as an AI,as a language model,as an assistant,xin lỗi,rất tiếc,đáng tiếc,không thể,không được phép,từ chối,là một trợ lý,là một mô hình,vi phạm,thông cảm,nằm ngoài khả năng,không dịch được,désolé,désolée,je ne peux pas,leider,tut mir leid,kann nicht,kann ich nicht,lo siento,no puedo".split(",")
+    for word in words:
+        assert pairs._excuses(word) and pairs._EXCUSE.search(word)
+        for _ in range(40):
+            text = "".join(rng.choice([c, c.upper(), c.lower(), {"s": "ſ", "i": "ıİ"[rng.random() < 0.5], "k": "\u212a"}.get(c, c)]) for c in word)
+            text = rng.choice(["", "x", "The ", "đ ", "ß."]) + text + rng.choice(["", "s", " boat", "."])
+            assert pairs._excuses(text) == (pairs._EXCUSE.search(text) is not None), text
+
+
 @pytest.mark.parametrize("kept", [1, 4])
 def test_languages_of_neither_side_are_foreign(spark, kept):
     """However few responses there are for the prompts."""
